@@ -57,7 +57,7 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]
     that the shuffled join spreads them evenly, where they match nothing.
     """
     hot = table.where(F.col(count) >= F.lit(max(2.0, total * HOT_SHARE))).select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_is_hot"))
-    cold = table.where(F.col(count) < F.lit(max(2.0, total * HOT_SHARE))).select(*keys, *values, F.lit(0).alias("_salt"))
+    cold = table.where(F.col(count) < F.lit(max(2.0, total * HOT_SHARE))).select(*keys, *values, F.when(F.col(count) < 0, 1).otherwise(0).alias("_salt"))  # not a constant, which would leave the join key
     salt = F.when(F.col("_is_hot"), 1 + F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0)
     out = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
     out = out.join(cold, [*keys, "_salt"], "left")
