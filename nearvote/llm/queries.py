@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, packing, simhash
+from . import blocknames, packing, simhash, tokenstore
+from .common import scratch_path
 from .resources import vocabulary
 
 
@@ -17,6 +18,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    manifest = tokenstore.write(_read(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=2)
+    return tokenstore.read(spark, folder, manifest)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
 
@@ -38,5 +45,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_token_store, op6_packing, op7_exact_dedup, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
