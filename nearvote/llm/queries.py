@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, packing, simhash, tokenstore
+from . import blocknames, nra, packing, simhash, tokenstore
 from .common import scratch_path
 from .resources import vocabulary
 
@@ -40,10 +40,30 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.top_k(_read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+FROM pairs WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 20
+"""
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, tau=4, m=5)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op6_packing, op7_exact_dedup, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op3_token_store, op6_packing, op7_exact_dedup, op9_top_k_search, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op9_top_k_search": OP9_SQL}
