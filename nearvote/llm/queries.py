@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, nra, packing, simhash, tokenstore
+from . import blocknames, bytepair, langid, nra, packing, simhash, tokenstore
 from .common import scratch_path
-from .resources import vocabulary
+from .resources import pattern, vocabulary
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read(spark, folder, manifest)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepair.encode(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
 
@@ -44,6 +48,12 @@ def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra.top_k(_read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.is_held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -65,5 +75,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op6_packing, op7_exact_dedup, op9_top_k_search, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_token_store, op5_byte_bpe, op6_packing, op7_exact_dedup, op8_language_id, op9_top_k_search, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op9_top_k_search": OP9_SQL}
