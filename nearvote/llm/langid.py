@@ -44,7 +44,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\W\d_]+")
 #: A calibration text is never rejected, nor is one within this factor of the calibration's range.
 SLACK = 1.5
-LEAST_RANGE = 8.0
+LEAST_RANGE = 15.0
 
 
 def words_of(text: str) -> list[str]:
