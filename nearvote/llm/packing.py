@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import groups, piece_encoder
+from .tokens import whole_encoder
 
 CAPACITY = 2048
 GROUP_TOKENS = 4_000_000
@@ -74,11 +74,11 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents; ``with_ids`` adds each piece's token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, made = piece_encoder(tokenizer), TaskContext.get().partitionId() << 32, 0
+        encode, base, made = whole_encoder(tokenizer, pattern), TaskContext.get().partitionId() << 32, 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
 
@@ -100,16 +100,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 
         held = 0
         for batch in batches:
-            texts, keys = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for a, b in groups(texts):
-                flat, counts = encode(texts[a:b])
-                for k, x in zip(keys[a:b], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    names.append(k)
-                    held += len(x) + 1
-                    if held >= GROUP_TOKENS:
-                        yield emit()
-                        held = 0
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(np.append(encode(text.as_py() or ""), np.uint32(end_id)))
+                names.append(k)
+                held += len(ids[-1])
+                if held >= GROUP_TOKENS:
+                    yield emit()
+                    held = 0
         if ids:
             yield emit()
 

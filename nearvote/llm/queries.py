@@ -120,7 +120,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
+    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), pattern(), end_id=1)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

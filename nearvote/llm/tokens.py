@@ -7,16 +7,20 @@ that isn't certain are encoded whole.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 
 #: Pieces that a worker remembers at most; beyond, it forgets all and goes on.
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 400_000
 #: Characters of the texts that are encoded at once (a longer text alone).
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
+#: Pieces that a tokenizer gets at once: what it returns is far larger than the ids.
+PIECES = 20_000
 
 CUT = "\x01"  # put before each place where a text is cut; a text that holds it is not cut
 
@@ -31,7 +35,48 @@ def open_tokenizer(path: str):
 
 def encoder_of(path: str) -> Callable[[list[str]], list[list[int]]]:
     tokenizer = open_tokenizer(path)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [e.ids for i in range(0, len(texts), PIECES) for e in tokenizer.encode_batch_fast(texts[i : i + PIECES], add_special_tokens=False)]
+
+
+def byte_level_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks of a tokenizers file that is plain byte-level BPE with the usual pattern, whose merges are in order of their ids; else None."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, cut = told["model"], told["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or told["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex"):
+        return None
+    letters = byte_letters()
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    if made != sorted(set(made)) or len(made) + 256 > len(model["vocab"]):
+        return None
+    tokens = {**{c: model["vocab"][c] for c in letters}, **{a + b: i for (a, b), i in zip(merges, made, strict=True)}}
+    return {bytes(letters[c] for c in token): i for token, i in tokens.items()}
+
+
+def byte_letters() -> dict[str, int]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + n): b for n, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=2)
+def whole_encoder(path: str, pattern: str) -> Callable[[str], np.ndarray]:
+    """Ids of whole texts as the tokenizers library gives them for the file.
+
+    Where the file is plain byte-level BPE, its own vocabulary is run by tiktoken,
+    which gives the same ids several times faster (a test holds the two together).
+    """
+    ranks = byte_level_ranks(path)
+    if ranks is None:
+        tokenizer = open_tokenizer(path)
+        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    import tiktoken
+
+    coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: np.array(coder.encode_ordinary(text), np.uint32)
 
 
 def split(text: str) -> list[str]:
