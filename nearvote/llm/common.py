@@ -64,3 +64,22 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]
     picked = [F.coalesce(F.col(f"_hot_{v}"), F.col(v)).alias(v) for v in values]
     out = out.select(*rows.columns, *picked)
     return out if how == "left" else out.where(F.col(values[0]).isNotNull())
+
+
+def sha_of(text_col: str):
+    """SHA-256 of a text's UTF-8; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text ``kept(doc_id, sha, copies)`` lists, one for each.
+
+    The texts are shuffled once and not sorted. Rows that repeat id and text are
+    told apart only where ``copies`` says that there may be any.
+    """
+    rows = docs.withColumn("_sha_of_text", sha_of(text_col))
+    want = kept.select(F.col("doc_id").alias("_kept_id"), F.col("sha").alias("_kept_sha")).hint("shuffle_hash")
+    out = rows.join(want, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha_of_text") == F.col("_kept_sha")), "left_semi")
+    if kept.where("copies > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, "_sha_of_text"])
+    return out.select(*docs.columns)

@@ -314,22 +314,22 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    place = keep.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         scorer = _Scorer(found)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             for a, b in groups(texts):
                 total, size = scorer(texts[a:b])
                 best, score, odd = found.decide(total, size)
                 none = size == 0
                 names = [UNKNOWN if n else found.languages[i] for i, n in zip(best.tolist(), none.tolist(), strict=True)]
-                part = batch.slice(a, b - a)
-                columns = [*(part.column(i) for i in range(1, len(keep) + 1)), pa.array(names), pa.array(np.where(none, 0.0, score)), pa.array(none | odd)]
+                columns = [*batch.slice(a, b - a).columns, pa.array(names, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(none | odd)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    fields = docs.select(F.col(f"`{text_col}`").cast("string"), *[F.col(f"`{c}`") for c in keep])
-    plain = fields.toDF("t", *[f"c{i}" for i in range(len(keep))])
-    kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(keep))]).withColumn(f"c{place}", F.col(f"c{place}").cast("string"))
+    kinds = [f"c{i} {kind}" for i, (_, kind) in enumerate(plain.dtypes)]
     extra = [f"c{len(keep) + i} {kind}" for i, kind in enumerate(("string", "double", "boolean"))]
     return plain.mapInArrow(run, ", ".join(kinds + extra)).toDF(*keep, "lang_pred", "score", "rejected")

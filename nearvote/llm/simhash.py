@@ -21,6 +21,7 @@ component's id is its smallest non-null doc_id (null if it has none).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,17 +59,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp) per row; ``fp`` is the fingerprint's 64 bits as a signed long."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, with_sha: bool = False) -> DataFrame:
+    """(doc_id, fp) per row; ``fp`` is the fingerprint's 64 bits as a signed long; with_sha adds the text's SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             fps = [_signed(fingerprint(texts[i].as_py(), width)) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            out = {"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64())}
+            if with_sha:
+                out["sha"] = pa.array([hashlib.sha256((texts[i].as_py() or "").encode("utf-8")).digest() for i in range(len(texts))], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return lean.mapInArrow(run, "doc_id long, fp long")
+    return lean.mapInArrow(run, "doc_id long, fp long" + (", sha binary" if with_sha else ""))
 
 
 def ring(tau: int, m: int) -> tuple[list[int], list[int]]:
@@ -152,17 +156,24 @@ def components(pairs: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = 4, m: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable over links)."""
-    sig = materialise(signatures(docs, id_col, text_col, width), "signatures")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = 4, m: int = 5, with_sha: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (and sha), component_id (smallest doc_id reachable over links), root (a fingerprint that names the component)."""
+    sig = materialise(signatures(docs, id_col, text_col, width, with_sha), "signatures")
     classes = materialise(sig.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
     total = sig.count()
     roots = materialise(components(links(classes.select("fp"), tau, m)), "roots")
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
     tops = linked.groupBy("root").agg(F.min("least_id").alias("top"), F.count("*").alias("k"))
-    grouped = lookup(linked.select("fp", "root"), tops, ["root"], ["top"], "k", max(1, roots.count())).select("fp", "top")
-    named = classes.join(grouped, "fp", "left").select("fp", "n", F.coalesce("top", "least_id").alias("component_id"))
-    return lookup(sig, named, ["fp"], ["component_id"], "n", max(1, total))
+    grouped = lookup(linked.select("fp", "root"), tops, ["root"], ["top"], "k", max(1, roots.count()))
+    named = classes.join(grouped, "fp", "left")
+    named = named.select("fp", "n", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("top")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return lookup(sig, named, ["fp"], ["root", "component_id"], "n", max(1, total))
+
+
+def kept(found: DataFrame) -> DataFrame:
+    """(doc_id, sha, copies) of the row of each component that stays: the smallest doc_id, then the smallest hash of the text."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
+    return found.groupBy("root").agg(first.alias("first"), F.count("*").alias("copies")).select("first.doc_id", "first.sha", "copies")
 
 
 def hex_fingerprint(fp: Column | str) -> Column:
