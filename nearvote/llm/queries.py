@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, bytepair, langid, nra, packing, preference, simhash, tokenstore, warc
+from . import blocknames, bytepair, langid, linedup, nra, packing, preference, simhash, tokenstore, warc
 from .common import scratch_path
 from .resources import pattern, vocabulary
 
@@ -71,6 +71,10 @@ FROM judged
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.matching_lines(_read(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     manifest = tokenstore.write(_read(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -169,7 +173,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc_revisits, op3_token_store, op4_preference_pairs, op5_byte_bpe, op6_packing,
+        op1_warc_revisits, op2_line_dedup, op3_token_store, op4_preference_pairs, op5_byte_bpe, op6_packing,
         op7_exact_dedup, op8_language_id, op9_top_k_search, op10_simhash_near_dedup,
     )
 }
