@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .. import schema as S
-from ..operators import replay
 from ..sources.transactions import MCC_CYCLE
 
 DIMS = range(S.DIMS)
@@ -207,7 +206,6 @@ def build(cells: int, small: S.SearchOptions, repair: S.SearchOptions) -> dict[s
         "fraud_score_exact": f"WITH {EXACT}, v AS (SELECT query_id, CAST(sum(label) AS INTEGER) AS fraud, CAST(sum(dist) AS BIGINT) AS sum_dist FROM near GROUP BY query_id) SELECT query_id, fraud, sum_dist, {DECIDED} FROM v",
         "kmeans_assign": f"WITH {EMB}, {_kmeans(8, 1)} SELECT vec_id, cell_id, dist FROM a0",
         "kmeans_iterations": f"WITH {EMB}, {_kmeans(8, 2)} SELECT cell_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS dim, unnest(c) AS value FROM c2",
-        "init_shuffle": _values([(g, n, p) for g in ("chacha", "splitmix64") for n, p in enumerate(replay.shuffled_prefix(10_000, 64, g, 0x52494E48)[0])], "generator, n, place"),
         "ivf_cells": f"WITH {index} SELECT cell_id, count FROM cells",
         "cell_offsets": f"WITH {index} SELECT cell_id, CAST(coalesce(sum(count) OVER b, 0) AS INTEGER) AS start, count, CAST(coalesce(sum(block_count) OVER b, 0) AS INTEGER) AS block_start, block_count FROM cells WINDOW b AS (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "cell_positions": f"WITH {index} SELECT cell_id, pos, CAST(pos // 128 AS INTEGER) AS block, ref_id, label FROM vec",
