@@ -5,17 +5,19 @@ match if the Jaccard similarity of their sets is at least ``threshold``; of
 matching lines, a later one (by doc_id, line number) is removed.
 
 Lines with equal sets are one class, found by a partial aggregate, and need no
-join. Among classes: words are ordered by rarity; two sets that match share at
-least ``depth`` of the words that come first, in a prefix of
-n - ceil(threshold n) + depth words. Prefix words are joined under a length
-filter and a positional filter, pairs with fewer than ``depth`` words in common
-are dropped, and the others verified on the whole sets.
-
-Rarity is the count of a word's bucket among ``BUCKETS`` (all occurrences of all
-texts are counted), then its hash: any order common to all lines gives exact
-results, a finer one only fewer candidates. The table of ranks is the one thing
-sent to all tasks; its size is fixed. A word is known by 62 bits of its hash and
-the bucket's rank, a set by 128 bits.
+join. Among classes: words are ordered by rarity; two sets that match share one
+of the words that come first, in a prefix of n - ceil(threshold n) + 1 words.
+Prefix words are joined under a length filter and a positional filter (the words
+after a first common one must suffice). Bit maps of the sets (``BITS`` bits)
+bound the overlap of the pairs that are left; the rest is verified on the whole
+sets.
+
+Rarity is the count of a word's bucket among ``BUCKETS`` on a scale of logarithms
+(all occurrences of all texts are counted), then its hash: any order common to
+all lines gives exact results, a finer one only fewer candidates. The table of
+levels, a byte per bucket, is the one thing sent to all tasks; its size is
+fixed. A word is known by 56 bits of its hash and its bucket's level, a set by
+128 bits.
 
 Defined results: a line without words matches nothing and stays; a null text has
 no lines; rows without doc_id are later than all others; rows that repeat doc_id
@@ -24,13 +26,16 @@ and line are the same line, of which none is later than the other.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise
+from .common import free_name, lookup, materialise
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 20
+STEPS = 4  # levels per doubling of a count; a level is a letter of ASCII
 SLOTS = 1 << 20  # of the filter that tells which lines verification needs
+BITS = 256  # of a set's map
 MARGIN = 1e-9
 
 
@@ -42,20 +47,31 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1))
 
 
-def bucket_ranks(docs: DataFrame, text_col: str) -> list[int]:
-    """Per bucket its place in the order of counts, of all words of all texts."""
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _map_word(i: int) -> Column:
+    """64 bits of the map of the set ``s``."""
+    mine = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(BITS // 64 - 1)) == i
+    return F.aggregate("s", F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.when(mine(k), _bit(k)).otherwise(F.lit(0))))
+
+
+def bucket_levels(docs: DataFrame, text_col: str) -> bytes:
+    """Per bucket the level of its count, of all words of all texts."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), "[ \t\r\n\u000b\f]+")).alias("w")).where("w <> ''")
-    counts = words.select(_bucket(F.xxhash64("w")).cast("int").alias("b")).groupBy("b").count().collect()
-    count = dict.fromkeys(range(BUCKETS), 0) | {r["b"]: r["count"] for r in counts}
-    rank = [0] * BUCKETS
-    for place, b in enumerate(sorted(count, key=lambda b: (count[b], b))):
-        rank[b] = place
-    return rank
+    counts = words.select(_bucket(F.xxhash64("w")).cast("int").alias("b")).groupBy("b").count()
+    level = F.least(F.lit(126), 1 + F.floor(F.log2("count") * STEPS)).cast("int")
+    found = counts.select("b", level.alias("level")).toArrow()  # a row per bucket at most
+    out = np.zeros(BUCKETS, np.uint8)
+    out[found.column("b").to_numpy()] = found.column("level").to_numpy()
+    return out.tobytes()
 
 
-def _ordered(line: Column, ranks: Column) -> Column:
+def _ordered(line: Column, levels: Column) -> Column:
     """The line's words as integers, rarest first, each once."""
-    key = lambda h: F.shiftleft(F.get(ranks, _bucket(h).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+    level = lambda h: F.ascii(F.substring(levels, _bucket(h).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: key(F.xxhash64(w)))))
 
 
@@ -64,18 +80,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows
 
 
-def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, depth: int = 2) -> DataFrame:
+def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per line: doc_id, line_no, n_words, class_doc_id and class_line (the class's first line), class_size,
     n_links (other classes that match), match_doc_id and match_line (the earliest earlier match), kept."""
     texts = docs.where(F.col(text_col).isNotNull())
-    folded = ",".join(map(str, bucket_ranks(texts, text_col)))
-    ranks = F.split(F.lit(folded), ",").cast("array<int>")  # a constant, folded once
+    levels = F.lit(bytearray(bucket_levels(texts, text_col)))
     lines = _lines(texts, id_col, text_col)
-    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), _ordered(F.col("line"), ranks).alias("s")).withColumn("n", F.size("s"))
+    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), _ordered(F.col("line"), levels).alias("s")).withColumn("n", F.size("s"))
     least = threshold / (1 - threshold)  # different sets of fewer words can't match
-    if depth > least + MARGIN:
-        raise ValueError("depth asks for more common words than the least sets have")
-    size = F.when(F.col("n") >= least - MARGIN, F.col("n") - F.ceil(F.col("n") * threshold - MARGIN).cast("int") + depth).otherwise(0)
+    size = F.when(F.col("n") >= least - MARGIN, F.col("n") - F.ceil(F.col("n") * threshold - MARGIN).cast("int") + 1).otherwise(0)
     base = keyed.select("doc_id", "line_no", "line_hash", "n", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), size).alias("prefix"))
     base = materialise(base, "lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "line_hash")
@@ -86,12 +99,10 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a, b = (prefix.select("w", *[F.col(c).alias(f"{c}_{side}") for c in ("k1", "k2", "n", "pos")]) for side in "ab")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - MARGIN)
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    before = F.least("pos_a", "pos_b")
-    fits = (F.col("n_a") >= F.col("n_b") * threshold - MARGIN) & (F.col("n_b") >= F.col("n_a") * threshold - MARGIN) & (before + rest >= need)
+    fits = (F.col("n_a") >= F.col("n_b") * threshold - MARGIN) & (F.col("n_b") >= F.col("n_a") * threshold - MARGIN) & (rest >= need)
     later = (F.col("k1_a") < F.col("k1_b")) | ((F.col("k1_a") == F.col("k1_b")) & (F.col("k2_a") < F.col("k2_b")))
-    pairs = a.join(b, "w").where(later & fits).groupBy("k1_a", "k2_a", "k1_b", "k2_b").agg(F.count("*").alias("shared"))
-    # Sets that match have at least ``least`` words in common, so ``depth`` of them are in the prefixes.
-    candidates = materialise(pairs.where(F.col("shared") >= depth).drop("shared"), "line-candidates")
+    pairs = a.join(b, "w").where(later & fits).select("k1_a", "k2_a", "n_a", "k1_b", "k2_b", "n_b").distinct()
+    candidates = materialise(pairs, "line-candidates")
 
     # Whole sets of the classes that have candidates, from the texts again; a filter of fixed size keeps most lines out.
     wanted = candidates.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).unionByName(candidates.select(F.col("k1_b").alias("k1"), F.col("k2_b").alias("k2"))).distinct()
@@ -106,12 +117,17 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if byte >> bit & 1:
                     flags[(begin + 8 * place + bit) % SLOTS] = 1
     hashed = lines.withColumn("line_hash", F.xxhash64("line"))
-    near = F.substring(F.lit(bytes(flags)), slot.cast("int") + 1, F.lit(1)) != F.lit(b"\0")
-    found = hashed.where(near).join(wanted.select("line_hash").distinct().hint("shuffle_hash"), "line_hash", "left_semi")
-    sets = found.select(_ordered(F.col("line"), ranks).alias("s")).select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), "s")
+    is_near = F.substring(F.lit(flags), slot.cast("int") + 1, F.lit(1)) != F.lit(bytearray(1))
+    found = hashed.where(is_near).join(wanted.select("line_hash").distinct().hint("shuffle_hash"), "line_hash", "left_semi")
+    sets = found.select(_ordered(F.col("line"), levels).alias("s")).select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), "s")
     sets = materialise(sets.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("s").alias("s")), "line-sets")
-    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("k1", "k2", "s")])
-    checked = candidates.join(side("a"), ["k1_a", "k2_a"]).join(side("b"), ["k1_b", "k2_b"])
+    maps = [_map_word(i) for i in range(BITS // 64)]
+    mapped = materialise(sets.select("k1", "k2", *[m.alias(f"m{i}") for i, m in enumerate(maps)]), "line-maps")
+    side = lambda t, x: t.select(*[F.col(c).alias(f"{c}_{x}") for c in t.columns])
+    both_maps = candidates.join(side(mapped, "a"), ["k1_a", "k2_a"]).join(side(mapped, "b"), ["k1_b", "k2_b"])
+    apart = sum((F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(BITS // 64)), F.lit(0))
+    near = both_maps.where((F.col("n_a") + F.col("n_b") - apart) / 2 >= need).select("k1_a", "k2_a", "k1_b", "k2_b")
+    checked = near.join(side(sets, "a"), ["k1_a", "k2_a"]).join(side(sets, "b"), ["k1_b", "k2_b"])
     both = F.size(F.array_intersect("s_a", "s_b"))
     alike = both >= threshold * (F.size("s_a") + F.size("s_b") - both) - MARGIN
     links = materialise(checked.where(alike).select("k1_a", "k2_a", "k1_b", "k2_b"), "line-links")
@@ -137,6 +153,8 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_matches(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that ``found`` keeps; ids must be unique and not null."""
     lines = _lines(docs, id_col, text_col).join(found.where("kept").select("doc_id", "line_no"), ["doc_id", "line_no"])
-    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("_kept_text"))
-    out = docs.join(whole, docs[id_col] == whole["doc_id"], "left").drop(whole["doc_id"])
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.coalesce("_kept_text", F.lit("")))).select(*docs.columns)
+    key, text = free_name("kept_id", docs.columns), free_name("kept_text", docs.columns)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    whole = lines.groupBy(F.col("doc_id").alias(key)).agg(joined.alias(text))
+    out = docs.join(whole, F.col(id_col).cast("long") == F.col(key), "left")
+    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.coalesce(text, F.lit("")))).select(*docs.columns)
