@@ -113,7 +113,7 @@ def build(refs: DataFrame, k: int = S.MAX_CENTROIDS, rounds: int = 15, init: str
     column = "q" if exact else "v"
     refs = refs.cache()
     centroids = kmeans.lloyd(refs, k, rounds, init, seed, column=column, exact=exact)
-    return from_assignment(kmeans.assign(refs, centroids, column, exact), centroids, exact)
+    return from_assignment(kmeans.assign(refs, centroids, column, exact).cache(), centroids, exact)
 
 
 # Search

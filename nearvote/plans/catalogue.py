@@ -35,7 +35,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked, known = transactions.split(features.as_vector(_vectors(spark, sf_dir), "event_id", "label"))
+    """Queries (query_id, q) and references (ref_id, label, q). The features behind both are computed once: cached."""
+    asked, known = transactions.split(features.as_vector(_vectors(spark, sf_dir), "event_id", "label").cache())
     return asked.select(F.col("event_id").alias("query_id"), "q"), known.select(F.col("event_id").alias("ref_id"), "label", "q")
 
 
@@ -181,9 +182,10 @@ def init_shuffle(spark, sf_dir):
 
 
 def _index(spark, sf_dir) -> tuple[DataFrame, ivf.Index]:
+    """Queries and the index, whose placed vectors are cached too."""
     asked, known = _sides(spark, sf_dir)
     centroids = _kmeans_start(known, CELLS, "ref_id").astype(np.int64)
-    return asked, ivf.from_assignment(kmeans.assign(known, centroids, "q", exact=True), centroids, exact=True)
+    return asked, ivf.from_assignment(kmeans.assign(known, centroids, "q", exact=True).cache(), centroids, exact=True)
 
 
 @query
