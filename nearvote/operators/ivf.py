@@ -23,6 +23,7 @@ from ..functions.distance import as_columns, box_bound, squared_l2
 from ..functions.quantise import quantise
 from . import kmeans
 
+FILE_ROWS = 1 << 20
 TABLES = ("centroids", "cells", "blocks", "vectors")
 
 
@@ -37,7 +38,8 @@ class Index:
     def write(self, path: str) -> None:
         for name in TABLES[:3]:
             getattr(self, name).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-        rows = self.vectors.repartition("cell_id").sortWithinPartitions("cell_id", "pos")
+        part = F.floor(F.col("pos") / FILE_ROWS)  # a large cell is written by several tasks
+        rows = self.vectors.repartition("cell_id", part).sortWithinPartitions("cell_id", "pos")
         rows.write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
 
     @classmethod
