@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PieceEncoder, groups
+from .tokens import Encoded, PieceEncoder, flat, groups, texts_of
 
 PAIRS = 2_000_000  # compatibilities that a worker remembers at most
 
@@ -123,7 +123,7 @@ class BytePair:
                 at = places[-1]
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[str]) -> Encoded:
         find, word = self.pattern.findall, self.encode_word
         out = []
         for piece in pieces:
@@ -131,7 +131,7 @@ class BytePair:
             for match in find(piece):
                 ids += word(match.encode("utf-8"))
             out.append(ids)
-        return out
+        return flat(out)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -151,10 +151,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         pieces = PieceEncoder(coder.encode_pieces)
         decimal = {rank: str(rank) for rank in coder.bytes_of}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = texts_of(batch.column(1))
             for a, b in groups(texts):
-                flat, counts = pieces(texts[a:b])
-                each = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+                got, counts = pieces(texts[a:b])
+                each = [x.tolist() for x in np.split(got, np.cumsum(counts)[:-1])]
                 out = {
                     "doc_id": batch.column(0).slice(a, b - a),
                     "n_tokens": pa.array(counts, pa.int64()),

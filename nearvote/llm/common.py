@@ -58,7 +58,7 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]
     """
     hot = table.where(F.col(count) >= F.lit(max(2.0, total * HOT_SHARE))).select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_is_hot"))
     cold = table.where(F.col(count) < F.lit(max(2.0, total * HOT_SHARE))).select(*keys, *values, F.when(F.col(count) < 0, 1).otherwise(0).alias("_salt"))  # not a constant, which would leave the join key
-    salt = F.when(F.col("_is_hot"), 1 + F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0)
+    salt = F.when(F.col("_is_hot"), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)  # the same if a task runs again
     out = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
     out = out.join(cold, [*keys, "_salt"], "left")
     picked = [F.coalesce(F.col(f"_hot_{v}"), F.col(v)).alias(v) for v in values]
@@ -66,20 +66,34 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]
     return out if how == "left" else out.where(F.col(values[0]).isNotNull())
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores as it takes to differ from the taken ones (in any case of letters)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def sha_of(text_col: str):
     """SHA-256 of a text's UTF-8; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id and text ``kept(doc_id, sha, copies)`` lists, one for each.
+def any_repeated(rows: DataFrame) -> bool:
+    """Whether rows repeat doc_id and text (``sha``); few bytes a row are shuffled."""
+    return rows.groupBy("doc_id", "sha").count().where("count > 1").limit(1).count() > 0
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, repeated: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text ``kept(doc_id, sha)`` lists, one for each.
 
-    The texts are shuffled once and not sorted. Rows that repeat id and text are
-    told apart only where ``copies`` says that there may be any.
+    The texts are shuffled once and not sorted; once more only if rows of
+    ``docs`` repeat id and text, as any_repeated() tells, and one is to stay.
     """
-    rows = docs.withColumn("_sha_of_text", sha_of(text_col))
-    want = kept.select(F.col("doc_id").alias("_kept_id"), F.col("sha").alias("_kept_sha")).hint("shuffle_hash")
-    out = rows.join(want, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha_of_text") == F.col("_kept_sha")), "left_semi")
-    if kept.where("copies > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, "_sha_of_text"])
+    sha, want_id, want_sha = (free_name(n, docs.columns) for n in ("sha_of_text", "kept_id", "kept_sha"))
+    rows = docs.withColumn(sha, sha_of(text_col))
+    want = kept.select(F.col("doc_id").alias(want_id), F.col("sha").alias(want_sha)).hint("shuffle_hash")
+    out = rows.join(want, F.col(id_col).cast("long").eqNullSafe(F.col(want_id)) & (F.col(sha) == F.col(want_sha)), "left_semi")
+    if repeated:
+        out = out.dropDuplicates([id_col, sha])
     return out.select(*docs.columns)

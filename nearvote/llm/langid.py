@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import groups
+from .common import free_name
+from .tokens import groups, texts_of
 
 ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 1_000_000, 256
@@ -304,14 +305,19 @@ def _has_letter(word: str) -> bool:
     return word.isalpha() or any(c.isalpha() for c in word)
 
 
-SCHEMA = "lang_pred string, score double, rejected boolean"
+ADDED = ("lang_pred", "score", "rejected")
+
+
+def added_names(docs: DataFrame) -> list[str]:
+    """Names of the columns that predict() adds: ADDED, with underscores where ``docs`` has them already."""
+    return [free_name(n, docs.columns) for n in ADDED]
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected (those names must be free)."""
-    keep = docs.columns
+    """``docs`` with the predicted language, the score and whether the text is rejected, under added_names()."""
+    keep, added = docs.columns, added_names(docs)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return docs.withColumns(dict(zip(added, (F.lit(UNKNOWN), F.lit(0.0), F.lit(True)), strict=True)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     place = keep.index(text_col)
@@ -320,9 +326,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         found = shared.value
         scorer = _Scorer(found)
         for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
+            texts = texts_of(batch.column(place))
             for a, b in groups(texts):
-                total, size = scorer(texts[a:b])
+                total, size = scorer(texts[a:b].to_pylist())
                 best, score, odd = found.decide(total, size)
                 none = size == 0
                 names = [UNKNOWN if n else found.languages[i] for i, n in zip(best.tolist(), none.tolist(), strict=True)]
@@ -332,4 +338,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     plain = docs.toDF(*[f"c{i}" for i in range(len(keep))]).withColumn(f"c{place}", F.col(f"c{place}").cast("string"))
     kinds = [f"c{i} {kind}" for i, (_, kind) in enumerate(plain.dtypes)]
     extra = [f"c{len(keep) + i} {kind}" for i, kind in enumerate(("string", "double", "boolean"))]
-    return plain.mapInArrow(run, ", ".join(kinds + extra)).toDF(*keep, "lang_pred", "score", "rejected")
+    return plain.mapInArrow(run, ", ".join(kinds + extra)).toDF(*keep, *added)

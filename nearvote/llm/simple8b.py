@@ -22,6 +22,7 @@ SELECTORS = (
 COUNT = np.array([n for n, _ in SELECTORS], np.int64)
 WIDTH = np.array([b for _, b in SELECTORS], np.int64)
 BLOCK = 1024
+SLICE = 1 << 19  # ids that are coded or decoded at once, in whole blocks
 SMALL = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)  # bits of small ids
 
 
@@ -41,7 +42,7 @@ def bit_lengths(ids: np.ndarray) -> np.ndarray:
 def _choices(bits: np.ndarray) -> np.ndarray:
     """Per place, the selector of the largest count whose ids all fit; bits: (blocks, places), 0 beyond the end."""
     best = np.zeros(bits.shape, np.uint8)  # the escape, unless some selector fits
-    best[bits <= 60] = len(SELECTORS) - 1
+    np.copyto(best, len(SELECTORS) - 1, where=bits <= 60)
     spans = {1: bits}
 
     def most(n: int) -> np.ndarray:
@@ -56,12 +57,23 @@ def _choices(bits: np.ndarray) -> np.ndarray:
 
     for s in range(len(SELECTORS) - 2, 0, -1):
         n, b = SELECTORS[s]
-        best[most(n) <= b] = s
+        np.copyto(best, s, where=most(n) <= b)
     return best
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets): offsets[i] is the place of block i's first word; one more at the end."""
+    step = max(1, SLICE // block) * block
+    words, offsets, base = [], [np.zeros(1, np.int64)], 0
+    for at in range(0, len(ids), step):
+        w, o = _encode(ids[at : at + step], block)
+        words.append(w)
+        offsets.append(o[1:] + base)
+        base += len(w)
+    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.concatenate(offsets)
+
+
+def _encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     n = -(-len(ids) // block)
     flat = np.zeros(n * block, np.uint64)
@@ -88,23 +100,34 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     if not steps:
         return out, offsets
     blk, pos, sel, rank = (np.concatenate(c) for c in zip(*steps, strict=True))
-    place = offsets[blk] + rank
+    place, at, cells = offsets[blk] + rank, blk * padded.shape[1] + pos, padded.ravel()
     for s, (count, width) in enumerate(SELECTORS):
         mine = np.flatnonzero(sel == s)
         if not len(mine):
             continue
         word = np.full(len(mine), s, np.uint64) << np.uint64(60)
         if s == 0:
-            out[place[mine] + 1] = padded[blk[mine], pos[mine]]
+            out[place[mine] + 1] = cells[at[mine]]
         elif width:
+            begin = at[mine]
             for k in range(count):
-                word |= padded[blk[mine], pos[mine] + k] << np.uint64(k * width)
+                word |= cells[begin + k] << np.uint64(k * width)
         out[place[mine]] = word
     return out, offsets
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
     """The ids again; offsets as encode() gave them, total ids in all."""
+    out = np.empty(total, np.uint64)
+    step = max(1, SLICE // block)
+    for at in range(0, len(offsets) - 1, step):
+        part = offsets[at : at + step + 1]
+        to = out[at * block : (at + step) * block]
+        to[:] = _decode(words[part[0] : part[-1]], part - part[0], len(to), block)
+    return out
+
+
+def _decode(words: np.ndarray, offsets: np.ndarray, total: int, block: int) -> np.ndarray:
     words, n = np.ascontiguousarray(words, np.uint64), len(offsets) - 1
     selector = (words >> np.uint64(60)).astype(np.int64)
     count = COUNT[selector]

@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import materialise
-from .tokens import groups, piece_encoder
+from .tokens import GROUP_CHARS, give_back, groups, piece_encoder, texts_of
 
 MAGIC, VERSION = b"NVS8IDS\n", 1
-SHARD_IDS = 8_000_000
+SHARD_IDS = 3_000_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -101,11 +101,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             row = {"part": [context.partitionId()], "shard": [shard], "file": [name], "docs": [len(keys)], "ids": [held]}
             keys.clear(), counts.clear(), parts.clear()
             held, shard, skip = 0, shard + 1, skip + held
+            give_back()
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
         for batch in batches:
-            texts, names = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for a, b in groups(texts):
+            texts, names = texts_of(batch.column(1)), batch.column(0).to_pylist()
+            for a, b in groups(texts, min(GROUP_CHARS, 2 * shard_ids)):
                 flat, n = encode(texts[a:b])
                 ends = np.cumsum(n)
                 parts.append(np.insert(flat, ends, end_id))
@@ -146,6 +147,8 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool =
                 if with_ids:
                     out["ids"] = pa.array([x.astype(np.int64) for x in np.split(ids, ends[:-1])], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
+                del out, names, counts, ids, raw, crc, ends
+                give_back()
 
     part = F.regexp_extract("path", r"part-(\d+)-\d+\.s8b$", 1).cast("int").alias("part")
     return files.select("content", part).mapInArrow(run, schema)
