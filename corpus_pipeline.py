@@ -18,22 +18,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearvote.llm import blocknames, langid, packing, simhash
-from nearvote.llm.common import keep_rows, materialise
+from nearvote.llm.common import any_repeated, keep_rows, materialise
 from nearvote.llm.resources import pattern, vocabulary
 
 
+#: Families of fingerprints (words in a shingle, hash family); texts close in any one are near duplicates.
+FAMILIES = ((4, 0), (4, 1), (4, 2), (4, 3))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = langid.predict(docs, langid.fit(docs))
-    return told.where(~F.col("rejected")).select(*docs.columns)
+    return told.where(~F.col(langid.added_names(docs)[2])).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = blocknames.exact_duplicates(docs)
-    return keep_rows(docs, found.where("kept").select("doc_id", "sha", F.col("group_size").alias("copies")))
+    return keep_rows(docs, found.where("kept"), any_repeated(found))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, simhash.kept(simhash.near_duplicates(docs, with_sha=True)))
+    found = simhash.near_duplicates(docs, families=FAMILIES, with_sha=True)
+    return keep_rows(docs, simhash.kept(found), any_repeated(found))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/nearvote-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/nearvote-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all scratch tables and files of this process, once no result that reads them is needed."""
+    while _made:
+        _delete(spark, _made.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,11 +51,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by materialise() that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 #: A key is hot if it holds at least this share of the rows, so at most 1/HOT_SHARE keys are hot.

@@ -166,7 +166,7 @@ QUALIFY row_number() OVER best <= 20
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, tau=4, m=5)
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), tau=4, m=5)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 

@@ -1,8 +1,8 @@
 """SimHash near-duplicates by pigeonring filtering.
 
 Fingerprint: A-Z are lower-cased, words are runs of bytes other than space and
-0x09-0x0D, shingles are ``width`` consecutive words joined by a space (repeats
-included; a shorter text is one shingle). A fingerprint bit is 1 if it is set
+0x09-0x0D, shingles are so many (four) consecutive words joined by a space
+(repeats included; a shorter text is one shingle). A fingerprint bit is 1 if it is set
 in over half of the shingles' XXH64 values (seed 42). A text without words has
 fingerprint zero and is linked like any other; so has a null text.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -36,43 +36,65 @@ BITS = 64
 CHUNK = 1 << 15  # shingles whose bits are counted at once
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
+def _family(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of another family: 0 is XXH64 itself, others mix it with a constant of their own."""
+    if n == 0:
+        return hashes
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return z ^ z >> np.uint64(31)
+
+
+#: Families of fingerprints as (words in a shingle, number of the hash family); the first one names the rows' classes.
+Families = tuple[tuple[int, int], ...]
+CONTRACT: Families = ((4, 0),)
+
+
+def _shingle_hashes(words: list[bytes], line: bytes, width: int) -> np.ndarray:
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(line, 42)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in spans), dtype=np.uint64, count=len(words) - width + 1)
+
+
+def fingerprints(text: str | None, families: Families = CONTRACT) -> list[int]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * len(families)
     line = b" ".join(words)
-    if len(words) <= width:
-        hashes = np.array([xxh64_intdigest(line, 42)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in spans), dtype=np.uint64, count=len(words) - width + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    hashes = {width: _shingle_hashes(words, line, width) for width in {w for w, _ in families}}
+    out = []
+    for width, n in families:
+        ones, own = np.zeros(BITS, dtype=np.int64), hashes[width]
+        for at in range(0, len(own), CHUNK):
+            part = _family(own[at : at + CHUNK], n).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big"))
+    return out
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, with_sha: bool = False) -> DataFrame:
-    """(doc_id, fp) per row; ``fp`` is the fingerprint's 64 bits as a signed long; with_sha adds the text's SHA-256."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: Families = CONTRACT, with_sha: bool = False) -> DataFrame:
+    """(doc_id, fp, more) per row: 64 bits as a signed long, and those of the further families; with_sha adds the text's SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            fps = [_signed(fingerprint(texts[i].as_py(), width)) for i in range(len(texts))]
-            out = {"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64())}
+            fps = [list(map(_signed, fingerprints(texts[i].as_py(), families))) for i in range(len(texts))]
+            out = {"doc_id": batch.column(0), "fp": pa.array([f[0] for f in fps], pa.int64()), "more": pa.array([f[1:] for f in fps], pa.list_(pa.int64()))}
             if with_sha:
                 out["sha"] = pa.array([hashlib.sha256((texts[i].as_py() or "").encode("utf-8")).digest() for i in range(len(texts))], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return lean.mapInArrow(run, "doc_id long, fp long" + (", sha binary" if with_sha else ""))
+    return lean.mapInArrow(run, "doc_id long, fp long, more array<long>" + (", sha binary" if with_sha else ""))
 
 
 def ring(tau: int, m: int) -> tuple[list[int], list[int]]:
@@ -86,7 +108,7 @@ def _rotated(fp: Column, by: int) -> Column:
 
 
 def links(fps: DataFrame, tau: int = 4, m: int = 5) -> DataFrame:
-    """Pairs (a, b) of the distinct fingerprints in ``fps.fp`` at most ``tau`` bits apart, each at least once.
+    """Pairs (a, b) of the nodes in ``fps(node, fp)`` with fingerprints at most ``tau`` bits apart, each at least once.
 
     Rows made before the filters: m index rows and on average 1 + width/2 probe
     rows per start, so linear in the input. A pair whose second segments differ
@@ -102,25 +124,38 @@ def links(fps: DataFrame, tau: int = 4, m: int = 5) -> DataFrame:
         F.struct(F.lit(i).alias("start"), _rotated(F.col("fp"), offsets[i]).alias("v"), F.shiftleft(F.lit(i).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(_rotated(F.col("fp"), offsets[i]), BITS - pair[i])).alias("k"))
         for i in range(m)
     ])
-    index = fps.select(F.explode(starts).alias("s")).select("s.*")
+    index = fps.select("node", F.explode(starts).alias("s")).select("node", "s.*")
     seconds = [widths[(i + 1) % m] for i in range(m)]
     flips = [
         F.when((F.col("start").isin([i for i in range(m) if b < seconds[i]])) & (F.shiftrightunsigned("k", b).bitwiseAND(F.lit(1)) == 0), F.col("k").bitwiseOR(F.lit(1 << b)))
         for b in range(max(seconds))
     ] if budgets[1] else []
-    probes = index.select("v", F.col("start"), F.explode(F.array(F.col("k"), *flips)).alias("key"), "k").where(F.col("key").isNotNull())
-    a, b = probes.alias("a"), index.select(F.col("k").alias("key"), F.col("v").alias("w")).alias("b")
+    probes = index.select("node", "v", F.col("start"), F.explode(F.array(F.col("k"), *flips)).alias("key"), "k").where(F.col("key").isNotNull())
+    a, b = probes.alias("a"), index.select(F.col("k").alias("key"), F.col("v").alias("w"), F.col("node").alias("other")).alias("b")
     x = F.col("v").bitwiseXOR(F.col("w"))
-    near = ((F.col("a.key") != F.col("k")) | (F.col("v") < F.col("w"))) & (F.bit_count(x) <= tau)
+    near = ((F.col("a.key") != F.col("k")) | (F.col("v") < F.col("w")) | ((F.col("v") == F.col("w")) & (F.col("node") < F.col("other")))) & (F.bit_count(x) <= tau)
     for length in range(3, m):  # the chain's longer prefixes
         bits = [sum(widths[(i + j) % m] for j in range(length)) for i in range(m)]
         shift = F.element_at(F.array(*[F.lit(BITS - n) for n in bits]), F.col("start") + 1)
         near = near & (F.bit_count(F.call_function("shiftrightunsigned", x, shift)) <= budgets[length - 1])
     found = a.join(b, (F.col("a.key") == F.col("b.key")) & near)
-    back = F.element_at(F.array(*[F.lit((BITS - o) % BITS) for o in offsets]), F.col("start") + 1)
-    forth = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("start") + 1)
-    turn = lambda c: F.when(F.col("start") == 0, F.col(c)).otherwise(F.call_function("shiftleft", F.col(c), back).bitwiseOR(F.call_function("shiftrightunsigned", F.col(c), forth)))
-    return found.select(turn("v").alias("a"), turn("w").alias("b"))
+    return found.select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+
+#: Parts into which collapse() cuts a node's neighbours, so that a node with very many is no single task.
+PARTS = 4
+
+
+def collapse(pairs: DataFrame) -> DataFrame:
+    """Far fewer links with the same components: of (a, b), both are linked to the least of b's neighbours in a's part instead.
+
+    In a large group of near copies, all pairs may be linked; this leaves a few links per node.
+    """
+    edges = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    part = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(PARTS))
+    near = edges.withColumn("m", F.min("v").over(Window.partitionBy("u", part)))
+    out = near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -130,7 +165,8 @@ def components(pairs: DataFrame) -> DataFrame:
     is a partial aggregate and a skew-safe lookup, written to the shared folder;
     nothing is collected but a row count and a checksum.
     """
-    edges = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    few = materialise(collapse(pairs), "links")
+    edges = materialise(collapse(few).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -156,24 +192,39 @@ def components(pairs: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = 4, m: int = 5, with_sha: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (and sha), component_id (smallest doc_id reachable over links), root (a fingerprint that names the component)."""
-    sig = materialise(signatures(docs, id_col, text_col, width, with_sha), "signatures")
+def _family_links(nodes: DataFrame, tau: int, m: int) -> DataFrame:
+    """Links over a further family: nodes of one fingerprint to the least of them, and those between different fingerprints."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("k"))
+    least = materialise(least, "family")
+    same = lookup(nodes, least.where("k > 1").withColumnRenamed("node", "least"), ["fp"], ["least"], "k", max(1, nodes.count()), how="inner")
+    return links(least.select("node", "fp"), tau, m).unionByName(same.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, m: int = 5, families: Families = CONTRACT, with_sha: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (and sha), component_id (smallest doc_id reachable over links), root (a fingerprint that names the component).
+
+    With more ``families``, texts are linked that are within ``tau`` bits in any one:
+    more of the near copies whose first fingerprints happen to be further apart.
+    """
+    sig = materialise(signatures(docs, id_col, text_col, families, with_sha), "signatures")
     classes = materialise(sig.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
     total = sig.count()
-    roots = materialise(components(links(classes.select("fp"), tau, m)), "roots")
+    found = links(classes.select(F.col("fp").alias("node"), "fp"), tau, m)
+    for n in range(len(families) - 1):
+        found = found.unionByName(_family_links(sig.select(F.col("fp").alias("node"), F.get("more", F.lit(n)).alias("fp")).distinct(), tau, m))
+    roots = materialise(components(found), "roots")
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
     tops = linked.groupBy("root").agg(F.min("least_id").alias("top"), F.count("*").alias("k"))
     grouped = lookup(linked.select("fp", "root"), tops, ["root"], ["top"], "k", max(1, roots.count()))
     named = classes.join(grouped, "fp", "left")
     named = named.select("fp", "n", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("top")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return lookup(sig, named, ["fp"], ["root", "component_id"], "n", max(1, total))
+    return lookup(sig.drop("more"), named, ["fp"], ["root", "component_id"], "n", max(1, total))
 
 
 def kept(found: DataFrame) -> DataFrame:
-    """(doc_id, sha, copies) of the row of each component that stays: the smallest doc_id, then the smallest hash of the text."""
+    """(doc_id, sha) of the row of each component that stays: the smallest doc_id, then the smallest hash of the text."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
-    return found.groupBy("root").agg(first.alias("first"), F.count("*").alias("copies")).select("first.doc_id", "first.sha", "copies")
+    return found.groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.sha")
 
 
 def hex_fingerprint(fp: Column | str) -> Column:
