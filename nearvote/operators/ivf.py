@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -137,11 +137,20 @@ def probes(queries: DataFrame, centroids: DataFrame, count: int, dims: int = S.D
 ORDER = ("dist", "probe_rank", "pos")
 
 
+def _spread(array: str, name: str, dims: int) -> list[Column]:
+    """An array's components as columns. Spread before a join, they keep the distance of its many rows in generated code."""
+    return [c.alias(f"{name}{d}") for d, c in enumerate(as_columns(F.col(array), dims))]
+
+
+def _columns(names: str, dims: int) -> list[list[Column]]:
+    return [[F.col(f"{name}{d}") for d in range(dims)] for name in names]
+
+
 def _candidates(queries: DataFrame, cells: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     """Vectors of the cells (query_id, cell_id, probe_rank) that each query reads, with their distance."""
-    asked = queries.select("query_id", F.col("q").alias("asked"))
-    joined = vectors.join(cells.join(asked, "query_id"), "cell_id")
-    dist = squared_l2(as_columns(F.col("asked"), dims), as_columns(F.col("q"), dims))
+    asked = queries.select("query_id", *_spread("q", "a", dims))
+    joined = vectors.select("cell_id", "pos", "ref_id", "label", *_spread("q", "r", dims)).join(cells.join(asked, "query_id"), "cell_id")
+    dist = squared_l2(*_columns("ar", dims))
     return joined.select("query_id", "probe_rank", "pos", "ref_id", "label", dist.alias("dist"))
 
 
@@ -167,13 +176,15 @@ def _pruned(index: Index, queries: DataFrame, cells: DataFrame) -> DataFrame:
     """Candidates without the blocks that can't matter: those whose box is no nearer than the first cell's fifth vector."""
     first = _nearest(_candidates(queries, cells.where("probe_rank = 1"), index.vectors, index.dims))
     limit = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == S.K, F.col("dist"))).alias("limit"))
-    asked = queries.select("query_id", F.col("q").alias("asked")).join(limit, "query_id", "left")
     n = index.dims
-    bound = box_bound(as_columns(F.col("asked"), n), as_columns(F.col("lo"), n), as_columns(F.col("hi"), n))
-    near = cells.join(asked, "query_id").join(index.blocks, "cell_id")
+    asked = queries.select("query_id", *_spread("q", "a", n)).join(limit, "query_id", "left")
+    blocks = index.blocks.select("cell_id", "block", *_spread("lo", "l", n), *_spread("hi", "h", n))
+    bound = box_bound(*_columns("alh", n))
+    near = cells.join(asked, "query_id").join(blocks, "cell_id")
     near = near.where((F.col("probe_rank") == 1) | F.col("limit").isNull() | (bound < F.col("limit")))
-    joined = index.vectors.join(near.select("query_id", "probe_rank", "cell_id", "block", "asked"), ["cell_id", "block"])
-    dist = squared_l2(as_columns(F.col("asked"), n), as_columns(F.col("q"), n))
+    near = near.select("query_id", "probe_rank", "cell_id", "block", *_columns("a", n)[0])
+    joined = index.vectors.select("cell_id", "block", "pos", "ref_id", "label", *_spread("q", "r", n)).join(near, ["cell_id", "block"])
+    dist = squared_l2(*_columns("ar", n))
     return joined.select("query_id", "probe_rank", "pos", "ref_id", "label", dist.alias("dist"))
 
 
@@ -213,9 +224,9 @@ def search(index: Index, queries: DataFrame, options: S.SearchOptions = S.Search
 def repair_cells(queries: DataFrame, index: Index, scanned: DataFrame, count: int, offset: int = 0) -> DataFrame:
     """query_id, cell_id, probe_rank of up to ``count`` cells not scanned yet, by (bound of the box, cell)."""
     n = index.dims
-    cells = index.cells.where((F.col("cell_id") < S.MAX_CENTROIDS) & (F.col("count") > 0)).select("cell_id", "lo", "hi")
-    bound = box_bound(as_columns(F.col("q"), n), as_columns(F.col("lo"), n), as_columns(F.col("hi"), n))
-    pairs = queries.select("query_id", "q").crossJoin(F.broadcast(cells)).select("query_id", "cell_id", bound.alias("bound"))
+    cells = index.cells.where((F.col("cell_id") < S.MAX_CENTROIDS) & (F.col("count") > 0)).select("cell_id", *_spread("lo", "l", n), *_spread("hi", "h", n))
+    bound = box_bound(*_columns("alh", n))
+    pairs = queries.select("query_id", *_spread("q", "a", n)).crossJoin(F.broadcast(cells)).select("query_id", "cell_id", bound.alias("bound"))
     left = pairs.join(scanned.select("query_id", "cell_id"), ["query_id", "cell_id"], "left_anti")
     by = Window.partitionBy("query_id").orderBy("bound", "cell_id")
     ranked = left.withColumn("r", F.row_number().over(by)).where(F.col("r") <= count)

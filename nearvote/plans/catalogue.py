@@ -19,7 +19,7 @@ from . import oracles
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: Cells of the index that the search queries build: the references with the lowest ids are the centroids.
-CELLS = 64
+CELLS = 512
 SMALL = S.SearchOptions(nprobe=2, repair_probe=6, repair_min=1, repair_max=4)
 REPAIR = S.SearchOptions(nprobe=1, repair_probe=2, repair_candidates=4, repair_min=1, repair_max=4)
 
@@ -270,7 +270,7 @@ def ivf_reranked(spark, sf_dir):
 
 @query
 def ivf_recall(spark, sf_dir):
-    """Neighbours found when 4 of 64 cells are probed, of the exact ones."""
+    """Neighbours found when 4 of the cells are probed, of the exact ones."""
     asked, index = _index(spark, sf_dir)
     known = index.vectors.select(F.col("ref_id").alias("id"), "label", "q")
     truth = knn.exact_top_k(asked.withColumnRenamed("query_id", "id"), known, S.K)
