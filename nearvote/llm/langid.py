@@ -34,11 +34,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name
-from .tokens import groups, texts_of
+from .tokens import give_back, groups, texts_of
 
 ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 1_000_000, 256
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 300_000
 UNKNOWN = "und"
 BEGIN, END = 2, 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -334,6 +334,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 names = [UNKNOWN if n else found.languages[i] for i, n in zip(best.tolist(), none.tolist(), strict=True)]
                 columns = [*batch.slice(a, b - a).columns, pa.array(names, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(none | odd)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+            give_back()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(keep))]).withColumn(f"c{place}", F.col(f"c{place}").cast("string"))
     kinds = [f"c{i} {kind}" for i, (_, kind) in enumerate(plain.dtypes)]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import whole_encoder
+from .tokens import give_back, whole_encoder
 
 CAPACITY = 2048
 GROUP_TOKENS = 4_000_000
@@ -96,6 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, id_col: str
                 out["ids"] = pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))
             ids.clear()
             names.clear()
+            give_back()
             return pa.RecordBatch.from_pydict(out)
 
         held = 0

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import discard, lookup, materialise
+from .tokens import give_back
 
 BITS = 64
 CHUNK = 1 << 15  # shingles whose bits are counted at once
@@ -92,6 +93,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if with_sha:
                 out["sha"] = pa.array([hashlib.sha256((texts[i].as_py() or "").encode("utf-8")).digest() for i in range(len(texts))], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
+            give_back()
 
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return lean.mapInArrow(run, "doc_id long, fp long, more array<long>" + (", sha binary" if with_sha else ""))
