@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, packing.
+"""The corpus pipeline: language ID, exact dedup, near-dedup, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
@@ -7,7 +7,8 @@ one's docs. All but the last return the columns of documents.
 - language_id: rows whose language can't be told (null, no letter) or whose
   cross-entropy is outside the calibrated range go.
 - exact_dedup: of equal texts the row with the largest doc_id stays.
-- near_dedup: of each component of near-duplicates the row with the smallest
+- near_dedup: texts with a Jaccard similarity of at least 0.8 over five-word shingles
+  are linked; of each component the row with the smallest
   doc_id stays (rows without one only if the component has no other).
 - packing: the texts' tokens in sequences of at most 2048.
 """
@@ -17,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearvote.llm import blocknames, langid, packing, simhash
+from nearvote.llm import blocknames, langid, packing, shingles, simhash
 from nearvote.llm.common import any_repeated, keep_rows, materialise
 from nearvote.llm.resources import pattern, vocabulary
 
 
-#: Families of fingerprints (words in a shingle, hash family); texts close in any one are near duplicates.
+#: Families of fingerprints (words in a shingle, hash family) of the former near_dedup; a test still compares with them.
 FAMILIES = ((4, 0), (4, 1), (4, 2), (4, 3))
 
 
@@ -37,7 +38,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, families=FAMILIES, with_sha=True)
+    found = shingles.near_duplicates(docs)
     return keep_rows(docs, simhash.kept(found), any_repeated(found))
 
 
