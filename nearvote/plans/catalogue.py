@@ -369,8 +369,9 @@ def stream_score(spark, sf_dir):
     source, sink = scratch_path(spark, "bodies"), scratch_path(spark, "decisions")
     asked.select("event_id", "body").repartition(4, "event_id").write.parquet(source)
     bodies = spark.readStream.schema("event_id long, body string").option("maxFilesPerTrigger", 2).parquet(source)
-    scored = scorer.score_stream(bodies, refs)
-    scored.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{sink}/n={number}")
+    score = scorer.score_batches_exact(refs, write)
+    bodies.writeStream.foreachBatch(score).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(sink).select("query_id", "fraud", "approved", "fraud_score")
 
 

@@ -1,7 +1,8 @@
 """Scoring of streams of JSON bodies: stateless, one decision per body.
 
 ``score_stream`` holds a small index in the plan (append mode, no state);
-``score_batches`` runs the indexed search on each micro-batch.
+``score_batches`` runs the indexed search on each micro-batch, ``score_batches_exact``
+the packed exact search, for any number of references.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.features import as_vector, vectorise
 from ..operators import ivf
 from ..operators.decide import decided
-from ..operators.knn import nearest_in
+from ..operators.knn import exact_top_k, nearest_in
 from ..schema import K, SearchOptions
 from ..sources.payload import parse_bodies
 
-#: References that score_stream sends to every task at most; beyond, use score_batches.
+#: References that score_stream sends to every task at most; beyond, use score_batches or score_batches_exact.
 BROADCAST_ROWS = 200_000
 
 
@@ -38,7 +39,7 @@ def score_stream(bodies: DataFrame, refs: DataFrame, id_col: str = "event_id") -
     """
     rows = refs.select("ref_id", "q", "label").orderBy("ref_id").limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} references: use score_batches")
+        raise ValueError(f"more than {BROADCAST_ROWS} references: use score_batches or score_batches_exact")
     q = np.array([r["q"] for r in rows], np.int32).reshape(len(rows), -1)
     label = np.array([r["label"] for r in rows], np.int64)
     shared = bodies.sparkSession.sparkContext.broadcast((q, label))
@@ -71,4 +72,16 @@ def score_batches(index: ivf.Index, options: SearchOptions, sink: Callable[[Data
     return lambda batch, number: sink(score_batch(batch, index, options, id_col), number)
 
 
+def score_batch_exact(bodies: DataFrame, refs: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """As score_stream, for a table; rows are told apart by place, so ids may repeat. refs: ref_id, q, label."""
+    vectors = vectors_of(bodies, id_col).withColumn("place", F.monotonically_increasing_id()).cache()
+    asked = vectors.where("parse_ok").select(F.col("place").alias("id"), "q")
+    found = exact_top_k(asked, refs.select(F.col("ref_id").alias("id"), "label", "q"), K)
+    votes = found.groupBy(F.col("query_id").alias("place")).agg(F.sum("label").cast("int").alias("fraud"))
+    rows = vectors.select("place", "query_id", "parse_ok").join(votes, "place", "left")
+    return decided(rows.select("query_id", "parse_ok", F.coalesce("fraud", F.lit(0)).alias("fraud")))
 
+
+def score_batches_exact(refs: DataFrame, sink: Callable[[DataFrame, int], None], id_col: str = "event_id") -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: score each micro-batch against all references and hand the decisions to ``sink``."""
+    return lambda batch, number: sink(score_batch_exact(batch, refs, id_col), number)
