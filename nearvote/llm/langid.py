@@ -239,9 +239,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     wanted = F.lit(False)  # about four times as many as are used, so that the window below is small whatever the input
     for name, n in counts:
         wanted = wanted | ((F.col("lang") == name) & (draw < int(min(1.0, 4 * sample_docs / n) * (1 << 30))))
-    by = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
-    drawn = rows.where(wanted).withColumn("size", F.length("text")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= sample_docs)
-    drawn = drawn.withColumn("sum", F.sum("size").over(by)).where(F.col("sum") <= F.greatest(F.lit(sample_chars), F.when(F.col("rank") == 1, F.col("size")).otherwise(0)))
+    rows = rows.where(wanted).withColumn("size", F.length("text").cast("long"))
+    by = Window.partitionBy("lang").orderBy(F.col("size") > sample_chars, draw, "doc_id", "text")  # a text that never fits is used only if all are such
+    drawn = rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= sample_docs)
+    fits = lambda total, size: F.when(total + size <= sample_chars, total + size).otherwise(total)
+    taken = F.aggregate(F.collect_list("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"), fits)
+    drawn = drawn.withColumn("taken", taken).where((F.col("taken") + F.col("size") <= sample_chars) | (F.col("rank") == 1))
+    drawn = drawn.withColumn("rank", F.row_number().over(by))
     samples: dict[str, list[str]] = {}
     checks: list[tuple[str, str]] = []
     for row in drawn.select("lang", "rank", "text").orderBy("lang", "rank").collect():
