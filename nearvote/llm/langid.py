@@ -43,7 +43,8 @@ UNKNOWN = "und"
 BEGIN, END = 2, 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\W\d_]+")
-#: A calibration text is never rejected, nor is one within this factor of the calibration's range.
+#: Texts within SLACK times the range that covers this share of the rightly classified calibration texts are never rejected.
+REACH = 0.98
 SLACK = 1.5
 LEAST_RANGE = 15.0
 
@@ -209,8 +210,10 @@ def calibrate(model: Model, texts: list[tuple[str, str]]) -> None:
         own = entropy[mine, n if (real == n).any() else 0]
         middle = float(np.median(own))
         model.centre[n] = middle
-        model.spread[n] = max(0.1, 1.4826 * float(np.median(np.abs(own - middle)))), max(0.8, float(np.sqrt(np.mean(np.array(squares)[mine]))))
-    model.reach = max(LEAST_RANGE, SLACK * float(model._deviation(entropy, real, symbols).max()))
+        told = mine & right if (mine & right).any() else mine
+        model.spread[n] = max(0.1, 1.4826 * float(np.median(np.abs(own - middle)))), max(0.8, float(np.sqrt(np.mean(np.array(squares)[told]))))
+    sound = right if right.any() else np.ones(len(real), bool)  # a wrong label or junk does not set the limit
+    model.reach = max(LEAST_RANGE, SLACK * float(np.quantile(model._deviation(entropy, real, symbols)[sound], REACH, method="lower")))
     x, y = Model._margin(entropy, symbols), right.astype(float)
     slope, offset = 0.5, 0.0
     for _ in range(50):  # logistic regression, drawn a little towards the start: all may be right
