@@ -1,21 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles.
+"""Sets of word shingles and their exact Jaccard similarity, by which SimHash candidates are verified.
 
 Words and their folding are those of ``simhash``; a text's set holds the XXH64
-values (seed 42) of its runs of ``WIDTH`` consecutive words, a shorter text's
+values (seed 42) of its runs of ``width`` consecutive words, a shorter text's
 that of all its words. Texts of one set are one node, named by a hash of the set.
-
-Search: ``BANDS`` hashes of ``ROWS`` MinHash values each. Two sets of similarity
-s share one with probability 1 - (1 - s**ROWS)**BANDS, all but 5e-8 at 0.8.
-Every link is verified exactly on whole sets. Members of a bucket are first
-compared to its least one only; then, of buckets that still hold several
-components, all pairs of different components. So each pair that shares a
-bucket is compared or already connected, and a large group of near copies needs
-few comparisons per member.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,72 +15,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, lookup, materialise, sha_of
-from .simhash import _shingle_hashes, _signed, components
+from .common import sha_of
 from .tokens import give_back
 
-WIDTH, THRESHOLD = 5, (4, 5)  # as a fraction, so that 0.8 is exact
-ROWS, BANDS = 4, 32
-CHUNK = 1 << 13  # shingles whose MinHash values are computed at once
-_draw = np.random.default_rng(42)
-_FACTOR, _TERM = (_draw.integers(0, 1 << 64, ROWS * BANDS, np.uint64) | np.uint64(1) for _ in range(2))
-
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes; none for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.unique(_shingle_hashes(words, b" ".join(words), WIDTH)) if words else np.zeros(0, np.uint64)
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """BANDS signed hashes of the set's least values under ROWS * BANDS mixings."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
-    for at in range(0, len(grams), CHUNK):
-        z = grams[at : at + CHUNK, None] * _FACTOR + _TERM
-        z ^= z >> np.uint64(32)
-        z *= np.uint64(0xD6E8FEB86659FD93)
-        least = np.minimum(least, (z ^ z >> np.uint64(32)).min(axis=0))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def shingle_hashes(words: list[bytes], line: bytes, width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words, repeats included; ``line`` holds the words joined by a space."""
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(line, 42)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in spans), dtype=np.uint64, count=len(words) - width + 1)
 
 
-def _names(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([_signed(xxh64_intdigest(s.tobytes(), 42)) for s in sets], pa.int64())
-
-
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, node, size, keys) per row; a text without words has no keys."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes; none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(shingle_hashes(words, b" ".join(words), width)) if words else np.zeros(0, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                held = [texts[i].as_py() for i in range(at, min(at + 256, len(texts)))]
-                sets = [shingle_set(t) for t in held]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(at, len(held)),
-                    "sha": pa.array([hashlib.sha256((t or "").encode("utf-8")).digest() for t in held], pa.binary()),
-                    "node": _names(sets),
-                    "size": pa.array([len(s) for s in sets], pa.int32()),
-                    "keys": pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                })
-            give_back()
 
-    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return lean.mapInArrow(run, "doc_id long, sha binary, node long, size int, keys array<long>")
+def names(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([signed(xxh64_intdigest(s.tobytes(), 42)) for s in sets], pa.int64())
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "text") -> DataFrame:
     """(node, grams), one row per node, of the texts that ``wanted(sha)`` lists; sets of other texts are not made again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t) for t in batch.column(0).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"node": _names(sets), "grams": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+                sets = [shingle_set(t, width) for t in batch.column(0).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"node": names(sets), "grams": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
             give_back()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), sha_of(text_col).alias("sha"))
@@ -97,41 +58,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataF
     return rows.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets, of ``sets(node, grams)``, have a similarity of at least THRESHOLD."""
-    part, whole = THRESHOLD
+def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets, of ``sets(node, grams)``, have a similarity of at least ``threshold``, a fraction."""
+    part, whole = threshold
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     rows = rows.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return rows.where(both * whole >= (F.size("x") + F.size("y") - both) * part).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, root) per row of ``docs``; root names the component over links of at least THRESHOLD."""
-    sig = materialise(signatures(docs, id_col, text_col), "signatures")
-    part, whole = THRESHOLD
-    nodes = sig.groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
-    member = nodes.select("node", "size", F.explode("keys").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1")
-    buckets = materialise(buckets, "buckets")
-    member = materialise(lookup(member, buckets, ["key"], ["least"], "k", max(1, buckets.agg(F.sum("k")).first()[0] or 0), how="inner"), "members")
-    wanted = sig.groupBy("node").agg(F.min("sha").alias("sha")).join(member.select("node").distinct(), "node", "left_semi")
-    sets = materialise(sets_of(docs, wanted.select("sha"), text_col), "sets")
-
-    stars = member.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    sure = materialise(verified(stars, sets), "stars")
-    roots = materialise(components(sure), "roots")
-    placed = member.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    placed = materialise(placed.join(mixed, "key", "left_semi"), "placed")
-    other = placed.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("d"))
-    alike = (F.col("c") < F.col("d")) & (F.least("size", "size_b") * whole >= F.greatest("size", "size_b") * part)
-    rest = placed.join(other, "key").where(alike).select(F.col("node").alias("a"), "b").distinct()
-    more = materialise(verified(rest, sets), "rest")
-    if more.limit(1).count():
-        roots = materialise(components(sure.unionByName(more)), "roots")
-    for table in (sets, member, placed):
-        discard(table)
-    count = sig.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node")
-    found = lookup(sig.select("doc_id", "sha", "node"), count, ["node"], ["root"], "n", max(1, sig.count()))
-    return found.select("doc_id", "sha", F.coalesce("root", "node").alias("root"))

@@ -14,60 +14,73 @@ first segment of the chain is equal and the second differs in at most one bit,
 which a hash join on 26 bits finds from at most 14 probes; the longer prefixes
 of the chain are then tested one after the other before the full distance.
 
-Defined results: rows are grouped by fingerprint, so repeated rows, repeated
-doc_ids and rows without doc_id each get the component of their text; a
-component's id is its smallest non-null doc_id (null if it has none).
+Verified search (``similar``): where links are to follow the Jaccard similarity
+of the texts' shingle sets, fingerprints only find candidates. At a similarity of
+0.8 two fingerprints differ in some 15 % of their bits, beyond any radius that
+can be searched without reading most of the table. So several independent
+families of fingerprints are searched, each from ``m`` places on the ring: a
+chain begins with ``window`` equal bits, and its longer prefixes must stay
+within budgets in proportion to a radius. ``plan_search`` takes window and
+families from the number of texts, so that a bucket holds some ``MATES`` texts
+that are unlike at any size, and a pair at the threshold meets with probability
+``RECALL``. Pairs left by the ring are compared over the bits of all families
+and then exactly on whole sets. Members of a bucket are first compared to its
+least one only, so that a large group of near copies becomes one component by a
+few comparisons a member; then all pairs of different components in a bucket
+are, never those within one large component.
+
+Defined results: rows are grouped by fingerprint (or set), so repeated rows,
+repeated doc_ids and rows without doc_id each get the component of their text; a
+component's id is its smallest non-null doc_id (null if it has none). An empty
+table gives an empty result; a text of any length is read whole, a part of its
+shingles at a time; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from .common import discard, lookup, materialise
+from .shingles import names, sets_of, shingle_hashes, shingle_set, signed, verified
 from .tokens import give_back
 
 BITS = 64
 CHUNK = 1 << 15  # shingles whose bits are counted at once
 
 
-def _family(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of another family: 0 is XXH64 itself, others mix it with a constant of their own."""
-    if n == 0:
-        return hashes
+def _mixed(hashes: np.ndarray, n: np.uint64 | np.ndarray) -> np.ndarray:
+    """Hashes mixed with a constant of their family's own."""
     with np.errstate(over="ignore"):
-        z = hashes + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+        z = hashes + n * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         return z ^ z >> np.uint64(31)
 
 
+def _family(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of another family: 0 is XXH64 itself."""
+    return _mixed(hashes, np.uint64(n)) if n else hashes
+
+
 #: Families of fingerprints as (words in a shingle, number of the hash family); the first one names the rows' classes.
 Families = tuple[tuple[int, int], ...]
 CONTRACT: Families = ((4, 0),)
 
 
-def _shingle_hashes(words: list[bytes], line: bytes, width: int) -> np.ndarray:
-    if len(words) <= width:
-        return np.array([xxh64_intdigest(line, 42)], dtype=np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in spans), dtype=np.uint64, count=len(words) - width + 1)
-
-
 def fingerprints(text: str | None, families: Families = CONTRACT) -> list[int]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return [0] * len(families)
     line = b" ".join(words)
-    hashes = {width: _shingle_hashes(words, line, width) for width in {w for w, _ in families}}
+    hashes = {width: shingle_hashes(words, line, width) for width in {w for w, _ in families}}
     out = []
     for width, n in families:
         ones, own = np.zeros(BITS, dtype=np.int64), hashes[width]
@@ -78,17 +91,13 @@ def fingerprints(text: str | None, families: Families = CONTRACT) -> list[int]:
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", families: Families = CONTRACT, with_sha: bool = False) -> DataFrame:
     """(doc_id, fp, more) per row: 64 bits as a signed long, and those of the further families; with_sha adds the text's SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            fps = [list(map(_signed, fingerprints(texts[i].as_py(), families))) for i in range(len(texts))]
+            fps = [list(map(signed, fingerprints(texts[i].as_py(), families))) for i in range(len(texts))]
             out = {"doc_id": batch.column(0), "fp": pa.array([f[0] for f in fps], pa.int64()), "more": pa.array([f[1:] for f in fps], pa.list_(pa.int64()))}
             if with_sha:
                 out["sha"] = pa.array([hashlib.sha256((texts[i].as_py() or "").encode("utf-8")).digest() for i in range(len(texts))], pa.binary())
@@ -109,6 +118,16 @@ def _rotated(fp: Column, by: int) -> Column:
     return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
+def _chain(x: Column, start: Column, widths: list[int], budgets: list[int], first: int) -> Column:
+    """Whether the chain at ``start`` stays in its budgets: prefixes of ``first`` segments and more in turn, the whole ring last."""
+    m, near = len(widths), F.lit(True)
+    for length in range(first, m):
+        bits = [sum(widths[(i + j) % m] for j in range(length)) for i in range(m)]
+        shift = F.element_at(F.array(*[F.lit(BITS - n) for n in bits]), start + 1)
+        near = near & (F.bit_count(F.call_function("shiftrightunsigned", x, shift)) <= budgets[length - 1])
+    return near & (F.bit_count(x) <= budgets[-1])
+
+
 def links(fps: DataFrame, tau: int = 4, m: int = 5) -> DataFrame:
     """Pairs (a, b) of the nodes in ``fps(node, fp)`` with fingerprints at most ``tau`` bits apart, each at least once.
 
@@ -135,31 +154,12 @@ def links(fps: DataFrame, tau: int = 4, m: int = 5) -> DataFrame:
     probes = index.select("node", "v", F.col("start"), F.explode(F.array(F.col("k"), *flips)).alias("key"), "k").where(F.col("key").isNotNull())
     a, b = probes.alias("a"), index.select(F.col("k").alias("key"), F.col("v").alias("w"), F.col("node").alias("other")).alias("b")
     x = F.col("v").bitwiseXOR(F.col("w"))
-    near = ((F.col("a.key") != F.col("k")) | (F.col("v") < F.col("w")) | ((F.col("v") == F.col("w")) & (F.col("node") < F.col("other")))) & (F.bit_count(x) <= tau)
-    for length in range(3, m):  # the chain's longer prefixes
-        bits = [sum(widths[(i + j) % m] for j in range(length)) for i in range(m)]
-        shift = F.element_at(F.array(*[F.lit(BITS - n) for n in bits]), F.col("start") + 1)
-        near = near & (F.bit_count(F.call_function("shiftrightunsigned", x, shift)) <= budgets[length - 1])
+    near = (F.col("a.key") != F.col("k")) | (F.col("v") < F.col("w")) | ((F.col("v") == F.col("w")) & (F.col("node") < F.col("other")))
+    near = near & _chain(x, F.col("start"), widths, budgets, 3)
     found = a.join(b, (F.col("a.key") == F.col("b.key")) & near)
     return found.select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
-#: Parts into which collapse() cuts a node's neighbours, so that a node with very many is no single task.
-PARTS = 4
-
-
-def collapse(pairs: DataFrame) -> DataFrame:
-    """Far fewer links with the same components: of (a, b), both are linked to the least of b's neighbours in a's part instead.
-
-    In a large group of near copies, all pairs may be linked; this leaves a few links per node.
-    """
-    edges = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    part = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(PARTS))
-    near = edges.withColumn("m", F.min("v").over(Window.partitionBy("u", part)))
-    out = near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of ``pairs(a, b)``; root is the component's smallest node.
 
@@ -167,8 +167,7 @@ def components(pairs: DataFrame) -> DataFrame:
     is a partial aggregate and a skew-safe lookup, written to the shared folder;
     nothing is collected but a row count and a checksum.
     """
-    few = materialise(collapse(pairs), "links")
-    edges = materialise(collapse(few).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -223,6 +222,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup(sig.drop("more"), named, ["fp"], ["root", "component_id"], "n", max(1, total))
 
 
+#: Words in a shingle and the least similarity, as a fraction so that 0.8 is exact.
+WIDTH, SIMILARITY = 5, (4, 5)
+MATES, RECALL = 16, 0.98
+STARTS = 5  # segments of the ring
+LARGE = 32  # members from which a component's own pairs are kept out of the buckets' joins
+
+
+def _differ(similarity: tuple[int, int]) -> float:
+    """Share of bits in which the fingerprints of two sets of that Jaccard similarity differ, by their angle."""
+    j = similarity[0] / similarity[1]
+    return math.acos(2 * j / (1 + j)) / math.pi
+
+
+@cache
+def plan_search(n: int, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
+    """(window, families, tau) for ``n`` texts: bits that are equal at a chain's start, fingerprints per text, radius."""
+    window = min(44, max(8, math.ceil(math.log2(max(2, n))) - int(math.log2(MATES))))
+    p, offsets = _differ(similarity), _offsets()
+    same = np.random.default_rng(0).random((100_000, BITS)) >= p
+    hit = np.zeros(len(same), bool)
+    for at in offsets:
+        hit |= np.take(same, range(at, at + window), axis=1, mode="wrap").all(axis=1)
+    families = max(3, math.ceil(math.log(1 - recall) / math.log(1 - max(float(hit.mean()), 1e-4))))
+    rest = BITS - window
+    return window, families, math.ceil(rest * p + 3.5 * math.sqrt(rest * p * (1 - p)))
+
+
+def _offsets() -> list[int]:
+    widths, _ = ring(STARTS, STARTS)
+    return [sum(widths[:i]) for i in range(STARTS)]
+
+
+def set_fingerprints(grams: np.ndarray, count: int) -> list[int]:
+    """Signed fingerprints of a set under ``count`` families."""
+    if not len(grams):
+        return []
+    numbers, ones = np.arange(1, count + 1, dtype=np.uint64)[:, None], np.zeros((count, BITS), np.int64)
+    step = max(1, CHUNK // (4 * count))
+    for at in range(0, len(grams), step):
+        part = _mixed(grams[None, at : at + step], numbers).astype(">u8").view(np.uint8).reshape(count, -1, 8)
+        ones += np.unpackbits(part, axis=2).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(grams), axis=1).view(">i8").ravel().tolist()
+
+
+def _set_signatures(docs: DataFrame, id_col: str, text_col: str, width: int, count: int) -> DataFrame:
+    """(doc_id, sha, node, size, fps) per row; a text without words has no fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            for at in range(0, len(texts), 256):
+                held = [texts[i].as_py() for i in range(at, min(at + 256, len(texts)))]
+                sets = [shingle_set(t, width) for t in held]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(0).slice(at, len(held)),
+                    "sha": pa.array([hashlib.sha256((t or "").encode("utf-8")).digest() for t in held], pa.binary()),
+                    "node": names(sets),
+                    "size": pa.array([len(s) for s in sets], pa.int32()),
+                    "fps": pa.array([set_fingerprints(s, count) for s in sets], pa.list_(pa.int64())),
+                })
+            give_back()
+
+    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return lean.mapInArrow(run, "doc_id long, sha binary, node long, size int, fps array<long>")
+
+
+def _members(nodes: DataFrame, window: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node, v, start, more): a row for every family and start; v is the fingerprint turned to the start, key names family, start and window."""
+    places = F.flatten(F.transform("fps", lambda fp, f: F.array(*[
+        F.struct(F.lit(i).alias("start"), _rotated(fp, at).alias("v"), (f * STARTS + i).cast("long").alias("slot")) for i, at in enumerate(_offsets())
+    ])))
+    rows = nodes.select("node", *extra, F.explode(places).alias("p"))
+    key = F.shiftleft(F.col("p.slot"), window).bitwiseOR(F.shiftrightunsigned("p.v", BITS - window))
+    return rows.select(key.alias("key"), "node", F.col("p.v").alias("v"), F.col("p.start").alias("start"), *extra)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(doc_id, sha, root) per row of ``docs``; root names the component over links of at least ``similarity``."""
+    window, count, tau = plan_search(docs.count(), similarity, recall)
+    widths, budgets = ring(tau, STARTS)
+    sig = materialise(_set_signatures(docs, id_col, text_col, width, count), "signatures")
+    nodes = materialise(sig.groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps"), F.min("sha").alias("sha"), F.count("*").alias("n")), "nodes")
+    part, whole = similarity
+    apart = int(BITS * count * (0.5 + _differ(similarity)) / 2)  # halfway to what unlike texts have
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and the bits of all families allow."""
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("fps").alias(f"fps_{c}"))
+        bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        alike = F.least("size_a", "size_b") * whole >= F.greatest("size_a", "size_b") * part
+        return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike & (bits <= apart)).select("a", "b")
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        found = materialise(near(pairs), f"{name}-pairs")
+        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+        sets = materialise(sets_of(docs, nodes.join(ends, "node", "left_semi").select("sha"), width, text_col), f"{name}-sets")
+        out = materialise(verified(found, sets, similarity), name)
+        discard(sets)
+        discard(found)
+        return out
+
+    within = lambda v, w: _chain(v.bitwiseXOR(w), F.col("start"), widths, budgets, 2)
+    rows = _members(nodes, window)
+    buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.min_by("v", "node").alias("w"), F.count("*").alias("k")).where("k > 1")
+    buckets = materialise(buckets, "buckets")
+    spread = lookup(rows, buckets, ["key"], ["least", "w"], "k", max(1, buckets.agg(F.sum("k")).first()[0] or 0), how="inner")
+    stars = links_of(spread.where((F.col("node") != F.col("least")) & within(F.col("v"), F.col("w"))).select(F.col("node").alias("a"), F.col("least").alias("b")), "stars")
+    discard(buckets)
+    roots = materialise(components(stars), "roots")
+
+    size = roots.groupBy("root").agg(F.count("*").alias("members"))
+    placed = nodes.join(roots.join(size, "root"), "node", "left")
+    placed = materialise(placed.select("node", "fps", F.coalesce("root", "node").alias("c"), (F.coalesce("members", F.lit(1)) > LARGE).alias("large")), "placed")
+    small = _members(placed.where("not large"), window, ("c",))
+    large = _members(placed.where("large"), window, ("c",))
+    right = lambda t: t.select("key", F.col("node").alias("other"), F.col("v").alias("w"), F.col("c").alias("d"))
+    close = within(F.col("v"), F.col("w"))
+    pair = (F.col("node").alias("a"), F.col("other").alias("b"))
+    rest = small.join(right(small), "key").where((F.col("c") < F.col("d")) & close).select(*pair)
+    rest = rest.unionByName(large.join(right(small), "key").where(close).select(*pair))
+    if placed.where("large").limit(1).count():
+        kinds = large.select("key", "c").distinct()
+        meet = kinds.join(kinds.withColumnRenamed("c", "d"), "key").where("c < d")
+        rest = rest.unionByName(large.join(meet, ["key", "c"]).join(right(large), ["key", "d"]).where(close).select(*pair))
+    more = links_of(rest, "rest")
+    if more.limit(1).count():
+        roots = materialise(components(stars.unionByName(more)), "roots")
+    count_of = nodes.select("node", "n").join(roots, "node")
+    found = lookup(sig.select("doc_id", "sha", "node"), count_of, ["node"], ["root"], "n", max(1, sig.count()))
+    return found.select("doc_id", "sha", F.coalesce("root", "node").alias("root"))
+
+
 def kept(found: DataFrame) -> DataFrame:
     """(doc_id, sha) of the row of each component that stays: the smallest doc_id, then the smallest hash of the text."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from nearvote.llm import langid, nra, preference, queries, simhash, warc
 from tests.conftest import SF
+from tests.llm.test_shingles import kept_by_brute_force
 from tests.llm.test_text_ops import exact_model
 
 # Revisits
@@ -168,20 +169,7 @@ def test_pipeline_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect() if not told[r.doc_id]]
     keep = {int(k) for _, k, _, _ in exact_model(rows)}
     rows = [(i, t) for i, t in rows if i in keep]
-    fps = {i: simhash.fingerprints(t, corpus_pipeline.FAMILIES) for i, t in rows}
-    top = {i: i for i in fps}
-
-    def find(i):
-        while top[i] != i:
-            i = top[i]
-        return i
-
-    ids = sorted(fps)
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            if any((x ^ y).bit_count() <= 4 for x, y in zip(fps[a], fps[b], strict=True)) and find(a) != find(b):
-                top[max(find(a), find(b))] = min(find(a), find(b))
-    left = {i for i in ids if find(i) == i}
+    left = kept_by_brute_force(rows)
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == left
     whole = {r.doc_id: r.doc_tokens for r in got}

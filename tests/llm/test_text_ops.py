@@ -91,7 +91,7 @@ def test_links_lose_no_pair(spark, tau, m):
     for f in list(fps):
         for _ in range(6):
             fps.add(f ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 7))))
-    signed = [(simhash._signed(f),) * 2 for f in fps]
+    signed = [(simhash.signed(f),) * 2 for f in fps]
     got = {frozenset((a % 2**64, b % 2**64)) for a, b in simhash.links(spark.createDataFrame(signed, "node long, fp long"), tau, m).collect()}
     assert got == {frozenset(p) for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= tau}
 
