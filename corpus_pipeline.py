@@ -7,10 +7,16 @@ one's docs. All but the last return the columns of documents.
 - language_id: rows whose language can't be told (null, no letter) or whose
   cross-entropy is outside the calibrated range go.
 - exact_dedup: of equal texts the row with the largest doc_id stays.
-- near_dedup: texts with a Jaccard similarity of at least 0.8 over five-word shingles
-  are linked; of each component the row with the smallest
-  doc_id stays (rows without one only if the component has no other).
+- near_dedup: SimHash fingerprints of five-word shingles find candidates by pigeonring
+  chains; those with a Jaccard similarity of at least 0.8, taken exactly, are linked.
+  Of each component the row with the smallest doc_id stays (rows without one only if
+  the component has no other).
 - packing: the texts' tokens in sequences of at most 2048.
+
+Nulls: a null text has no language and goes at the first stage; other columns may be
+null. Empty tables give empty results. Texts of any length are read whole. Repeated
+rows are copies, of which exact_dedup keeps one; ties go by doc_id, then by the text's
+hash. Extra columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -18,15 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearvote.llm import blocknames, langid, packing, shingles, simhash
+from nearvote.llm import blocknames, langid, packing, simhash
 from nearvote.llm.common import any_repeated, keep_rows, materialise
 from nearvote.llm.resources import pattern, vocabulary
 
 
-#: Families of fingerprints (words in a shingle, hash family) of the former near_dedup; a test still compares with them.
-FAMILIES = ((4, 0), (4, 1), (4, 2), (4, 3))
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = langid.predict(docs, langid.fit(docs))
     return told.where(~F.col(langid.added_names(docs)[2])).select(*docs.columns)
@@ -38,7 +40,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = shingles.near_duplicates(docs)
+    found = simhash.similar(docs, width=5, similarity=(4, 5))
     return keep_rows(docs, simhash.kept(found), any_repeated(found))
 
 
