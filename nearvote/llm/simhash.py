@@ -24,10 +24,10 @@ within budgets in proportion to a radius. ``plan_search`` takes window and
 families from the number of texts, so that a bucket holds some ``MATES`` texts
 that are unlike at any size, and a pair at the threshold meets with probability
 ``RECALL``. Pairs left by the ring are compared over the bits of all families
-and then exactly on whole sets. Members of a bucket are first compared to its
-least one only, so that a large group of near copies becomes one component by a
-few comparisons a member; then all pairs of different components in a bucket
-are, never those within one large component.
+(at least ``LEAST_FAMILIES``) and then exactly on whole sets. Members of a bucket
+are first compared to four of its members only, so that a large group of near
+copies becomes one component by a few comparisons a member; then all pairs of
+different components in a bucket are, never those within one large component.
 
 Defined results: rows are grouped by fingerprint (or set), so repeated rows,
 repeated doc_ids and rows without doc_id each get the component of their text; a
@@ -41,7 +41,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -225,7 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Words in a shingle and the least similarity, as a fraction so that 0.8 is exact.
 WIDTH, SIMILARITY = 5, (4, 5)
 MATES, RECALL = 16, 0.98
+LEAST_FAMILIES = 16  # that texts are compared by; fewer may be searched
+SHORT = 64  # shingles below which an even vote is so frequent that bits differ more than the angle tells
 STARTS = 5  # segments of the ring
+CROWDED = 4  # times MATES; in a bucket with more members, all families are compared at once
 LARGE = 32  # members from which a component's own pairs are kept out of the buckets' joins
 
 
@@ -238,7 +241,7 @@ def _differ(similarity: tuple[int, int]) -> float:
 @cache
 def plan_search(n: int, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
     """(window, families, tau) for ``n`` texts: bits that are equal at a chain's start, fingerprints per text, radius."""
-    window = min(44, max(8, math.ceil(math.log2(max(2, n))) - int(math.log2(MATES))))
+    window = min(44, max(8, math.ceil(math.log2(max(2, n) / MATES))))
     p, offsets = _differ(similarity), _offsets()
     same = np.random.default_rng(0).random((100_000, BITS)) >= p
     hit = np.zeros(len(same), bool)
@@ -246,7 +249,7 @@ def plan_search(n: int, similarity: tuple[int, int] = SIMILARITY, recall: float
         hit |= np.take(same, range(at, at + window), axis=1, mode="wrap").all(axis=1)
     families = max(3, math.ceil(math.log(1 - recall) / math.log(1 - max(float(hit.mean()), 1e-4))))
     rest = BITS - window
-    return window, families, math.ceil(rest * p + 3.5 * math.sqrt(rest * p * (1 - p)))
+    return window, families, math.ceil(rest * p + 2.75 * math.sqrt(rest * p * (1 - p)))
 
 
 def _offsets() -> list[int]:
@@ -288,34 +291,52 @@ def _set_signatures(docs: DataFrame, id_col: str, text_col: str, width: int, cou
     return lean.mapInArrow(run, "doc_id long, sha binary, node long, size int, fps array<long>")
 
 
-def _members(nodes: DataFrame, window: int, extra: tuple[str, ...] = ()) -> DataFrame:
+def _key(fp: Column, slot: Column, at: int, window: int) -> Column:
+    """The slot and the first ``window`` bits of the fingerprint turned by ``at``."""
+    return F.shiftleft(slot.cast("long"), window).bitwiseOR(F.shiftrightunsigned(_rotated(fp, at), BITS - window))
+
+
+def _members(nodes: DataFrame, window: int, families: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """(key, node, v, start, more): a row for every family and start; v is the fingerprint turned to the start, key names family, start and window."""
-    places = F.flatten(F.transform("fps", lambda fp, f: F.array(*[
+    places = F.flatten(F.transform(F.slice("fps", 1, families), lambda fp, f: F.array(*[
         F.struct(F.lit(i).alias("start"), _rotated(fp, at).alias("v"), (f * STARTS + i).cast("long").alias("slot")) for i, at in enumerate(_offsets())
     ])))
     rows = nodes.select("node", *extra, F.explode(places).alias("p"))
-    key = F.shiftleft(F.col("p.slot"), window).bitwiseOR(F.shiftrightunsigned("p.v", BITS - window))
-    return rows.select(key.alias("key"), "node", F.col("p.v").alias("v"), F.col("p.start").alias("start"), *extra)
+    return rows.select(_key(F.col("p.v"), F.col("p.slot"), 0, window).alias("key"), "node", F.col("p.v").alias("v"), F.col("p.start").alias("start"), *extra)
+
+
+def _first_start(x: Column, start: Column, window: int) -> Column:
+    """Whether no earlier start of the family has a window without differences, so that a pair comes from one start only; x is turned to ``start``."""
+    at, first = _offsets(), F.lit(True)
+    for i in range(1, STARTS):
+        equal = [F.shiftrightunsigned(_rotated(x, (at[j] - at[i]) % BITS), BITS - window) == 0 for j in range(i)]
+        first = F.when(start == i, ~reduce(Column.__or__, equal)).otherwise(first)
+    return first
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(doc_id, sha, root) per row of ``docs``; root names the component over links of at least ``similarity``."""
-    window, count, tau = plan_search(docs.count(), similarity, recall)
+    window, searched, tau = plan_search(docs.count(), similarity, recall)
     widths, budgets = ring(tau, STARTS)
+    count = max(searched, LEAST_FAMILIES)
     sig = materialise(_set_signatures(docs, id_col, text_col, width, count), "signatures")
     nodes = materialise(sig.groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps"), F.min("sha").alias("sha"), F.count("*").alias("n")), "nodes")
     part, whole = similarity
-    apart = int(BITS * count * (0.5 + _differ(similarity)) / 2)  # halfway to what unlike texts have
+    p, bits = _differ(similarity), BITS * count
+    most, loose = math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p))), int(bits * (0.5 + p) / 2)
+
+    def alike(a: str, b: str) -> Column:
+        """Whether sizes and the bits of all families of ``size_a, fps_a`` and ``size_b, fps_b`` allow a link."""
+        apart = F.aggregate(F.zip_with(f"fps_{a}", f"fps_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        less, more = F.least(f"size_{a}", f"size_{b}"), F.greatest(f"size_{a}", f"size_{b}")
+        return (less * whole >= more * part) & (apart <= F.when(less < SHORT, loose).otherwise(most))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and the bits of all families allow."""
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("fps").alias(f"fps_{c}"))
-        bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        alike = F.least("size_a", "size_b") * whole >= F.greatest("size_a", "size_b") * part
-        return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike & (bits <= apart)).select("a", "b")
+        return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike("a", "b")).select("a", "b")
 
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        found = materialise(near(pairs), f"{name}-pairs")
+    def links_of(found: DataFrame, name: str) -> DataFrame:
+        found = materialise(found, f"{name}-pairs")
         ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
         sets = materialise(sets_of(docs, nodes.join(ends, "node", "left_semi").select("sha"), width, text_col), f"{name}-sets")
         out = materialise(verified(found, sets, similarity), name)
@@ -324,28 +345,44 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         return out
 
     within = lambda v, w: _chain(v.bitwiseXOR(w), F.col("start"), widths, budgets, 2)
-    rows = _members(nodes, window)
-    buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.min_by("v", "node").alias("w"), F.count("*").alias("k")).where("k > 1")
-    buckets = materialise(buckets, "buckets")
-    spread = lookup(rows, buckets, ["key"], ["least", "w"], "k", max(1, buckets.agg(F.sum("k")).first()[0] or 0), how="inner")
-    stars = links_of(spread.where((F.col("node") != F.col("least")) & within(F.col("v"), F.col("w"))).select(F.col("node").alias("a"), F.col("least").alias("b")), "stars")
+    rows = _members(nodes, window, searched)
+    draw = F.xxhash64("node")
+    pick = lambda i, f, by: [f("node", by).alias(f"least{i}"), f("v", by).alias(f"w{i}")]
+    picks = [c for i, (f, by) in enumerate(((F.min_by, "node"), (F.max_by, "node"), (F.min_by, draw), (F.max_by, draw))) for c in pick(i, f, by)]
+    buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("k"), *picks).where("k > 1"), "buckets")
+    spread = lookup(rows, buckets, ["key"], [f"{c}{i}" for i in range(4) for c in ("least", "w")], "k", max(1, buckets.agg(F.sum("k")).first()[0] or 0), how="inner")
+    hits = F.filter(F.array(*[F.when((F.col("node") != F.col(f"least{i}")) & within(F.col("v"), F.col(f"w{i}")), F.col(f"least{i}")) for i in range(4)]), lambda x: x.isNotNull())
+    stars = spread.select(F.col("node").alias("a"), F.explode(hits).alias("b"))
+    stars = links_of(near(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "stars")
+    crowded = materialise(buckets.where(F.col("k") > CROWDED * MATES).select("key"), "crowded")
     discard(buckets)
     roots = materialise(components(stars), "roots")
 
     size = roots.groupBy("root").agg(F.count("*").alias("members"))
     placed = nodes.join(roots.join(size, "root"), "node", "left")
-    placed = materialise(placed.select("node", "fps", F.coalesce("root", "node").alias("c"), (F.coalesce("members", F.lit(1)) > LARGE).alias("large")), "placed")
-    small = _members(placed.where("not large"), window, ("c",))
-    large = _members(placed.where("large"), window, ("c",))
-    right = lambda t: t.select("key", F.col("node").alias("other"), F.col("v").alias("w"), F.col("c").alias("d"))
-    close = within(F.col("v"), F.col("w"))
-    pair = (F.col("node").alias("a"), F.col("other").alias("b"))
-    rest = small.join(right(small), "key").where((F.col("c") < F.col("d")) & close).select(*pair)
-    rest = rest.unionByName(large.join(right(small), "key").where(close).select(*pair))
+    placed = materialise(placed.select("node", "size", "fps", F.coalesce("root", "node").alias("c"), (F.coalesce("members", F.lit(1)) > LARGE).alias("large")), "placed")
+    extra = ("c", "size", "fps")
+    single, many = (_members(placed.where(f), window, searched, extra) for f in ("not large", "large"))
+    lean = _members(placed.where("not large"), window, searched, ("c",)).join(crowded, "key", "left_anti")
+    right = lean.select("key", F.col("node").alias("other"), F.col("v").alias("w"), F.col("c").alias("d"))
+    once = _first_start(F.col("v").bitwiseXOR(F.col("w")), F.col("start"), window)
+    close = (F.col("c") < F.col("d")) & within(F.col("v"), F.col("w")) & once
+    rest = near(lean.join(right, "key").where(close).select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+    slots = F.flatten(F.transform(F.slice("fps", 1, searched), lambda fp, f: F.array(*[_key(fp, f * STARTS + i, at, window) for i, at in enumerate(_offsets())])))
+    side = lambda t, x: t.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", *extra)], slots.alias(f"slots_{x}"))
+    met = F.array_position("slots_a", F.col("key")).cast("int") - 1  # at the first bucket that both are in
+    allowed = alike("a", "b") & ~F.arrays_overlap(F.slice("slots_a", F.lit(1), met), F.slice("slots_b", F.lit(1), met))
+    found = lambda t: t.where(allowed).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    dense = single.join(crowded, "key", "left_semi")
+    dear = found(side(dense, "a").join(side(dense, "b"), "key").where("c_a < c_b"))
     if placed.where("large").limit(1).count():
-        kinds = large.select("key", "c").distinct()
-        meet = kinds.join(kinds.withColumnRenamed("c", "d"), "key").where("c < d")
-        rest = rest.unionByName(large.join(meet, ["key", "c"]).join(right(large), ["key", "d"]).where(close).select(*pair))
+        kinds = many.select("key", "c").distinct()
+        beside = single.join(kinds.select("key").distinct(), "key", "left_semi")
+        meet = kinds.withColumnRenamed("c", "c_a").join(kinds.withColumnRenamed("c", "c_b"), "key").where("c_a < c_b")
+        dear = dear.unionByName(found(side(many, "a").join(side(beside, "b"), "key")))
+        dear = dear.unionByName(found(side(many, "a").join(meet, ["key", "c_a"]).join(side(many, "b"), ["key", "c_b"])))
+    rest = rest.unionByName(dear).distinct()
     more = links_of(rest, "rest")
     if more.limit(1).count():
         roots = materialise(components(stars.unionByName(more)), "roots")
