@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -40,13 +40,30 @@ def give_back() -> None:
 
 
 def open_tokenizer(path: str):
+    """For texts, or pieces of them, without special strings."""
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
+    found.encode_special_tokens = True  # so that no piece can become one
     return found
 
 
+@lru_cache(maxsize=4)
+def special_strings(path: str) -> tuple[str, ...]:
+    """Strings that the library takes as one token wherever they stand in a text."""
+    with open(path, encoding="utf-8") as file:
+        return tuple(t["content"] for t in json.load(file).get("added_tokens") or ())
+
+
+@lru_cache(maxsize=4)
+def library_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a whole text by the library's own call, which turns special strings into their tokens."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 Encoded = tuple[np.ndarray, np.ndarray]  # ids of strings, one after the other, and how many each has
 
 
@@ -178,12 +195,12 @@ def whole_encoder(path: str, pattern: str) -> Callable[[str], np.ndarray]:
     """
     ranks = byte_level_ranks(path)
     if ranks is None:
-        tokenizer = open_tokenizer(path)
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return library_encoder(path)
     import tiktoken
 
     coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(coder.encode_ordinary(text), np.uint32)
+    special, library = special_strings(path), library_encoder(path)
+    return lambda text: library(text) if any(s in text for s in special) else np.array(coder.encode_ordinary(text), np.uint32)
 
 
 def split(text: str) -> list[str]:
@@ -222,8 +239,8 @@ class PieceEncoder:
     which the pre-tokenizer may not split are put together first.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], limit: int = MEMO_LIMIT, alike: bool = False):
-        self.encode, self.limit, self.alike = encode, limit, alike
+    def __init__(self, encode: Callable[[list[str]], Encoded], limit: int = MEMO_LIMIT, alike: bool = False, special: tuple[str, ...] = (), library: Callable[[str], np.ndarray] | None = None):
+        self.encode, self.limit, self.alike, self.special, self.library = encode, limit, alike, special, library
         self._forget()
 
     def _forget(self) -> None:
@@ -271,6 +288,10 @@ class PieceEncoder:
         """Ids of the texts, one after the other, and how many each has; no nulls."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        held = [pc.match_substring(texts, s, ignore_case=True) for s in self.special]  # case may be folded before they are looked for
+        odd = np.flatnonzero(reduce(np.logical_or, (h.to_numpy(zero_copy_only=False) for h in held))) if held else []
+        if len(odd):
+            return self._with_special(texts, odd.tolist())
         if self.alike:
             texts = made_alike(texts)
         if len(self.index) > self.limit:  # only here, as places are held until the end of the call
@@ -285,6 +306,17 @@ class PieceEncoder:
         counts = np.diff(before[np.concatenate(([0], ends))])
         return self.pool[np.repeat(self.start[at] - before[:-1], sizes) + np.arange(before[-1])], counts
 
+    def _with_special(self, texts: pa.Array, odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold special strings go to the library whole, the others as ever."""
+        parts, counts, last = [], [], 0
+        for n in [*odd, len(texts)]:
+            ids, sizes = self(texts[last:n])
+            own = [self.library(texts[n].as_py())] if n < len(texts) else []
+            parts += [ids, *own]
+            counts += [sizes, np.array([len(x) for x in own], np.int64)]
+            last = n + 1
+        return np.concatenate(parts).astype(np.uint32), np.concatenate(counts)
+
     def _joined(self, texts: pa.Array, joined: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places once more, with the pieces put together between which no cut is allowed."""
         begin = np.concatenate(([0], ends))
@@ -326,4 +358,4 @@ def texts_of(column: pa.Array) -> pa.Array:
 @lru_cache(maxsize=1)
 def piece_encoder(path: str) -> PieceEncoder:
     """One per worker: what a task has learned serves the next one."""
-    return PieceEncoder(word_encoder_of(path), alike=drops_case_and_space(path))
+    return PieceEncoder(word_encoder_of(path), alike=drops_case_and_space(path), special=special_strings(path), library=library_encoder(path))

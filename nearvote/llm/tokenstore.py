@@ -97,6 +97,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             trial = f"{path}/_{name}.{context.taskAttemptId()}-{uuid.uuid4().hex}"
             with fs.open_output_stream(trial) as out:
                 out.write(to_bytes(keys, np.concatenate(counts), np.concatenate(parts), skip, block))
+            if fs.get_file_info(f"{path}/{name}").type != pa.fs.FileType.NotFound:  # of an attempt that was lost; it holds the same
+                fs.delete_file(f"{path}/{name}")
             fs.move(trial, f"{path}/{name}")
             row = {"part": [context.partitionId()], "shard": [shard], "file": [name], "docs": [len(keys)], "ids": [held]}
             keys.clear(), counts.clear(), parts.clear()

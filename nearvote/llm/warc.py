@@ -15,7 +15,10 @@ Defined results: earlier is strictly earlier; of responses of the same time the
 largest record_id counts; a null URL or time matches nothing; repeated revisit
 rows are resolved one by one; a revisit without an earlier response is
 ``no_response``; one whose validators differ ``mismatch`` (no headers merged);
-one without any comparable validator ``unchecked``; else ``resolved``.
+one without any comparable validator ``unchecked``; else ``resolved``. Header
+names differ by more than case: the different values of names that differ only in
+case are joined by ", ", sorted by name and value. URLs and headers of any length
+are used whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +49,14 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with names in lower case; values of names that then are equal are joined."""
+    entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = lambda n: F.array_distinct(F.transform(F.filter(entries, lambda e: (F.lower(e["key"]) == n) & e["value"].isNotNull()), lambda e: e["value"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.when(F.size(values(n)) > 0, F.array_join(values(n), ", "))))
+
+
 LEAN = ["url", "ts", "is_response", "record_id", "headers", "digest"]
 FILLED = "url string, ts long, record_id long, headers string, digest string, r_id long, r_headers string, r_digest string, part int, pending boolean, tail boolean"
 
@@ -89,8 +100,7 @@ def resolve(records: DataFrame) -> DataFrame:
     One row per revisit: record_id, canonical_url, ts, outcome, response_id, digest, headers (merged map).
     """
     spark = records.sparkSession
-    lower = F.map_from_entries(F.array_distinct(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"]))))
-    keyed = records.select(canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "response").alias("is_response"), F.col("record_id").cast("long").alias("record_id"), F.to_json(lower).alias("headers"), "digest", "status", "kind")
+    keyed = records.select(canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "response").alias("is_response"), F.col("record_id").cast("long").alias("record_id"), F.to_json(lower_names(F.col("headers"))).alias("headers"), "digest", "status", "kind")
     sound = F.col("url").isNotNull() & F.col("ts").isNotNull()
     used = keyed.where(sound & ((F.col("kind") == "revisit") | ((F.col("kind") == "response") & (F.col("status") == 200))))
     filled = materialise(_as_of(used), "revisits")

@@ -54,6 +54,17 @@ def revisit_model(rows, spark):
     return sorted(out, key=str)
 
 
+def test_header_names_that_differ_in_case(spark):
+    rows = [
+        (1, "response", 200, "http://a.com/", 1, {"Set-Cookie": "a", "set-cookie": "b", "ETag": "x", "etag": "x"}, None, "p", None),
+        (2, "revisit", 304, "http://a.com/", 2, {"Etag": "x", "DATE": "1", "date": "2", "Date": None}, None, "p", None),
+        (3, "revisit", 304, "http://a.com/", 3, None, None, "p", None),
+    ]
+    got = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[2].outcome == "resolved" and got[2].headers == {"set-cookie": "a, b", "etag": "x", "date": "1, 2"}
+    assert got[3].outcome == "unchecked" and warc.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_revisits_equal_brute_force(spark):
     r, rows = random.Random(1), []
     urls = ["http://a.com/x", "https://www.a.com/x/#f", "http://a.com/y", "http://b.com/", None, "http://hot.com/p"]
@@ -111,17 +122,16 @@ def test_a_long_conversation(spark):
 
 
 def top_model(rows, k, every):
-    v = {}
+    v = []
     for i, x in rows:
         if i is None or x is None or any(c is None or not np.isfinite(c) for c in x):
             continue
-        q = [int(np.floor(64 * float(np.float32(c)))) for c in x]
-        v[i] = min(v.get(i, q), q)
-    out = []
-    for i in v:
-        if i % every == 0:
-            best = sorted(((-int(np.dot(v[i], v[j])), j) for j in v if j != i and len(v[j]) == len(v[i])))[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        v.append((i, [int(np.floor(64 * float(np.float32(c)))) for c in x]))
+    out, limit = [], (1 << 63) - 1
+    for i in {i for i, _ in v if i % every == 0}:
+        score = lambda q, x: max(-limit - 1, min(limit, sum(a * b for a, b in zip(q, x, strict=True))))
+        best = sorted((-score(q, x), j) for own, q in v if own == i for j, x in v if j != i and len(x) == len(q))[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
 
@@ -140,15 +150,27 @@ def test_top_k_of_nothing(spark):
     assert nra.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0]), (1, [1.0]), (1, [5.0])]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in nra.top_k(frame(rows)).orderBy("rank").collect()] == [(0, 1, 1, 20480), (0, 2, 1, 4096)]
+    rows = [(i, [float(10**e), 1.0, -float(10**e) * (i % 3)]) for i, e in enumerate((0, 2, 5, 7, 9, 9, 3, 1, 6, 8))] + [(20, [-1e9, 2.0, 1.0]), (40, [1.0, 1e-3, 0.0]), (40, [2.0, 1.0, 1.0]), (3, [1e9, 0.0, 0.0])]
+    assert sorted(tuple(r) for r in nra.top_k(frame(rows), k=5).collect()) == top_model(rows, 5, 20)
+
+
 def test_reading_stops_early():
+    """Clustered data: the lists are left long before their end; data without structure are read to the end."""
     rng = np.random.default_rng(0)
-    centres = rng.normal(size=(40, 6)) * 40
-    x = np.unique(np.concatenate([c + rng.normal(size=(50, 6)) for c in centres]).astype(int), axis=0)
+    centres = np.eye(40, dtype=int) * 100
+    x = np.concatenate([c + rng.integers(-2, 3, size=(10, 40)) for c in centres])
     ids = [np.array([i]) for i in range(len(x))]
-    want = np.argsort(-(x[:7] @ x.T), axis=1, kind="stable")[:, :10]
-    for depths in ((1 / 8, 1 / 2), (), (1 / 64, 1 / 16, 1 / 4)):
-        got = {i: found for i, found, _ in nra.search(x[:7], x, ids, 10, depths)}
-        assert all((x[i] @ x[got[i]].T).tolist() == (x[i] @ x[want[i]].T).tolist() for i in range(7))
+    best = np.sort(-(x[::57] @ x.T), axis=1)[:, :10]
+    found = {i: (score, depth) for i, _, score, depth in nra.search(x[::57], x, ids, 10)}
+    assert [found[i][0] for i in range(len(best))] == (-best).tolist()
+    entries = sum(depth * x.shape[1] for _, depth in found.values())
+    assert max(d for _, d in found.values()) <= len(x) // 16 and entries <= len(best) * x.size // 16
+    y = rng.integers(-9, 10, size=(500, 30))
+    assert {depth for *_, depth in nra.search(y[:5], y, [np.array([i]) for i in range(500)], 10)} == {500}
 
 
 # Pipeline

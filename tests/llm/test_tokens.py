@@ -48,10 +48,67 @@ def test_pieces_give_the_ids_of_whole_texts(limit, coder):
         assert got == split(direct(texts))
 
 
+def library(name, texts):
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
+
+
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> it's", "a<|endoftext", "<|endoftext|>" * 3, " <|endoftext|>\n", "plain text, here"]
+
+
+def test_special_strings_as_the_library_takes_them():
+    texts = strings(4, 200) + SPECIAL + strings(5, 50)
+    pieces = tokens.piece_encoder(vocabulary("word_bpe_49k.json"))
+    assert split(pieces(tokens.texts_of(pa.array(texts, pa.string())))) == library("word_bpe_49k.json", texts)
+    encode = tokens.whole_encoder(vocabulary("byte_bpe_50k.json"), pattern())
+    assert [encode(t).tolist() for t in texts] == library("byte_bpe_50k.json", texts)
+
+
+def test_pieces_hold_the_documents_ids(spark):
+    rows = list(enumerate([*strings(6, 120), *SPECIAL, "word " * 9000, None]))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json"), pattern(), end_id=1, with_ids=True).collect()
+    whole = {i: [*x, 1] for (i, _), x in zip(rows, library("byte_bpe_50k.json", [t or "" for _, t in rows]), strict=True)}
+    pieces = defaultdict(list)
+    for r in got:
+        assert r.ids == whole[r.doc_id][r.start : r.start + r.length] and r.doc_tokens == len(whole[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        pieces[r.doc_id].append((r.start, r.length))
+    assert pieces.keys() == whole.keys()
+    for i, own in pieces.items():
+        assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()] and sum(n for _, n in own) == len(whole[i])
+
+
+def lowest_cost(lengths, capacity):
+    """The rule, one sequence at a time: the longest document next, to the cheapest sequence that has room, else cut for the roomiest."""
+    full = [(d, k * capacity, capacity) for d, n in enumerate(lengths) for k in range(n // capacity)]
+    queue = sorted((-(n % capacity), d, n - n % capacity) for d, n in enumerate(lengths) if n % capacity)
+    rest = -sum(q[0] for q in queue)
+    sizes = [capacity] * (rest // capacity) + [1 << b for b in range(30, -1, -1) if (rest % capacity) >> b & 1]
+    held = [[] for _ in sizes]
+    while queue:
+        n, d, start = queue.pop(0)
+        room = [size - sum(x[2] for x in own) for size, own in zip(sizes, held, strict=True)]
+        fits = [i for i in range(len(sizes)) if room[i] >= -n]
+        at = min(fits, key=lambda i: (sum(packing.cost(x[2]) for x in held[i]), i)) if fits else max(range(len(sizes)), key=lambda i: (room[i], -i))
+        take = min(-n, room[at])
+        held[at].append((d, start, take))
+        if take < -n:
+            queue = sorted([*queue, (n + take, d, start + take)])
+    return sorted([*full, *(x for own in held for x in own)])
+
+
+def test_documents_go_to_the_cheapest_sequence():
+    r = random.Random(11)
+    for _ in range(40):
+        lengths = [r.randint(1, 150) for _ in range(r.randint(1, 30))]
+        assert sorted(p[:3] for p in packing.assign(np.array(lengths), 64)) == lowest_cost(lengths, 64)
+
+
 def test_whole_encoder_equals_the_tokenizers_library():
-    encode, direct = tokens.whole_encoder(vocabulary("byte_bpe_50k.json"), pattern()), tokens.encoder_of(vocabulary("byte_bpe_50k.json"))
+    encode = tokens.whole_encoder(vocabulary("byte_bpe_50k.json"), pattern())
     texts = strings(2, 1500)
-    assert [encode(t).tolist() for t in texts] == split(direct(texts))
+    assert [encode(t).tolist() for t in texts] == library("byte_bpe_50k.json", texts)
     assert tokens.byte_level_ranks(vocabulary("word_bpe_49k.json")) is None
     assert tokens.drops_case_and_space(vocabulary("word_bpe_49k.json")) and not tokens.drops_case_and_space(vocabulary("byte_bpe_50k.json"))
 
