@@ -6,22 +6,32 @@ matching lines, a later one (by doc_id, line number) is removed.
 
 Lines with equal sets are one class, found by a partial aggregate, and need no
 join. Among classes: words are ordered by rarity; two sets that match share one
-of the words that come first, in a prefix of n - ceil(threshold n) + 1 words.
-Prefix words are joined under a length filter and a positional filter (the words
-after a first common one must suffice). Bit maps of the sets (``BITS`` bits)
-bound the overlap of the pairs that are left; the rest is verified on the whole
-sets.
+of the words that come first, in a prefix of n - ceil(threshold n) + 1 words. At
+the first word that they share, the words from there on must suffice (positional
+filter), and their sizes must be near (length filter); a parity map of 64 bits
+bounds the words in which they differ.
+
+1. A left semi join on prefix words under these filters tells which classes can
+   have a partner; it makes at most a row per class and prefix word.
+2. Whole sets are made for those classes only. They are gathered by prefix word in
+   blocks of at most about ``CHUNK``, a frequent word's in several, and each pair
+   of blocks is one row, in which a pair of sets is taken at the first word that
+   it shares, verified by its exact Jaccard similarity and counted on the spot.
+   So no row per pair is ever made, and a set moves once per prefix word and block.
 
 Rarity is the count of a word's bucket among ``BUCKETS`` on a scale of logarithms
 (all occurrences of all texts are counted), then its hash: any order common to
 all lines gives exact results, a finer one only fewer candidates. The table of
 levels, a byte per bucket, is the one thing sent to all tasks; its size is
-fixed. A word is known by 56 bits of its hash and its bucket's level, a set by
-128 bits.
+fixed. A word is known by 56 bits of its hash and its bucket's level; that this
+names each word of the verified sets once is checked, else the words themselves
+are compared. A class is known by 128 bits of its set.
 
 Defined results: a line without words matches nothing and stays; a null text has
 no lines; rows without doc_id are later than all others; rows that repeat doc_id
-and line are the same line, of which none is later than the other.
+and line are the same line, of which none is later than the other. Lines of any
+length are used whole; an empty table gives an empty result; columns other than
+id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +44,8 @@ from .common import free_name, lookup, materialise
 
 BUCKETS = 1 << 20
 STEPS = 4  # levels per doubling of a count; a level is a letter of ASCII
-SLOTS = 1 << 20  # of the filter that tells which lines verification needs
-BITS = 256  # of a set's map
+SLOTS = 1 << 20  # of the filter that tells which lines are cut into sets again
+CHUNK = 1024  # sets in a block
 MARGIN = 1e-9
 
 
@@ -51,10 +61,9 @@ def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _map_word(i: int) -> Column:
-    """64 bits of the map of the set ``s``."""
-    mine = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(BITS // 64 - 1)) == i
-    return F.aggregate("s", F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.when(mine(k), _bit(k)).otherwise(F.lit(0))))
+def _parity(words: str) -> Column:
+    """64 bits, each the parity of the words that fall on it: two sets' maps differ in no more bits than the sets do in words."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(_bit(k)))
 
 
 def bucket_levels(docs: DataFrame, text_col: str) -> bytes:
@@ -68,10 +77,14 @@ def bucket_levels(docs: DataFrame, text_col: str) -> bytes:
     return out.tobytes()
 
 
+def _key(levels: Column):
+    level = lambda h: F.ascii(F.substring(levels, _bucket(h).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    return lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+
 def _ordered(line: Column, levels: Column) -> Column:
     """The line's words as integers, rarest first, each once."""
-    level = lambda h: F.ascii(F.substring(levels, _bucket(h).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    key = _key(levels)
     return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: key(F.xxhash64(w)))))
 
 
@@ -86,56 +99,63 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.where(F.col(text_col).isNotNull())
     levels = F.lit(bytearray(bucket_levels(texts, text_col)))
     lines = _lines(texts, id_col, text_col)
-    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), _ordered(F.col("line"), levels).alias("s")).withColumn("n", F.size("s"))
+    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), F.explode(F.array(_ordered(F.col("line"), levels))).alias("s")).withColumn("n", F.size("s"))
     least = threshold / (1 - threshold)  # different sets of fewer words can't match
     size = F.when(F.col("n") >= least - MARGIN, F.col("n") - F.ceil(F.col("n") * threshold - MARGIN).cast("int") + 1).otherwise(0)
-    base = keyed.select("doc_id", "line_no", "line_hash", "n", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), size).alias("prefix"))
+    base = keyed.select("doc_id", "line_no", "line_hash", "n", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), size).alias("prefix"), _parity("s").alias("map"))
     base = materialise(base, "lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "line_hash")
-    classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes, "line-classes")
-
-    prefix = classes.where(F.size("prefix") > 0).select("k1", "k2", "n", F.posexplode("prefix").alias("pos", "w"))
-    a, b = (prefix.select("w", *[F.col(c).alias(f"{c}_{side}") for c in ("k1", "k2", "n", "pos")]) for side in "ab")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - MARGIN)
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    fits = (F.col("n_a") >= F.col("n_b") * threshold - MARGIN) & (F.col("n_b") >= F.col("n_a") * threshold - MARGIN) & (rest >= need)
-    later = (F.col("k1_a") < F.col("k1_b")) | ((F.col("k1_a") == F.col("k1_b")) & (F.col("k2_a") < F.col("k2_b")))
-    pairs = a.join(b, "w").where(later & fits).select("k1_a", "k2_a", "n_a", "k1_b", "k2_b", "n_b").distinct()
-    candidates = materialise(pairs, "line-candidates")
-
-    # Whole sets of the classes that have candidates, from the texts again; a filter of fixed size keeps most lines out.
-    wanted = candidates.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).unionByName(candidates.select(F.col("k1_b").alias("k1"), F.col("k2_b").alias("k2"))).distinct()
-    wanted = materialise(wanted.join(classes.select("k1", "k2", F.col("first.line_hash").alias("line_hash")), ["k1", "k2"]), "line-wanted")
+    classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+
+    def fits(n_a: Column, pos_a: Column, map_a: Column, n_b: Column, pos_b: Column, map_b: Column) -> Column:
+        need = F.ceil((n_a + n_b) * (threshold / (1 + threshold)) - MARGIN)
+        sizes = (n_a >= n_b * threshold - MARGIN) & (n_b >= n_a * threshold - MARGIN)
+        return sizes & (F.least(n_a - pos_a, n_b - pos_b) >= need) & (F.bit_count(map_a.bitwiseXOR(map_b)) <= n_a + n_b - 2 * need)
+
+    prefix = classes.where(F.size("prefix") > 0).select("cid", "n", "map", F.posexplode("prefix").alias("pos", "w"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    parts = [F.col(f"{t}.{c}") for t in "ab" for c in ("n", "pos", "map")]
+    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.cid") != F.col("b.cid")) & fits(*parts), "left_semi")
+    wanted = classes.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", "n", "map", "first", F.col("first.line_hash").alias("line_hash"))
+    wanted = materialise(wanted, "line-wanted")
+
+    # Whole sets of those classes, from the texts again; a filter of fixed size keeps most lines out.
     slot = F.pmod(F.col("line_hash"), F.lit(SLOTS))
     bits = {r["bucket"]: bytes(r["bits"]) for r in wanted.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).collect()}
-    flags = bytearray(SLOTS)
+    flags = np.zeros(SLOTS, np.uint8)
     for bucket, packed in bits.items():
-        begin = (bucket - 1) * 8 * len(packed)
-        for place, byte in enumerate(packed):
-            for bit in range(8):
-                if byte >> bit & 1:
-                    flags[(begin + 8 * place + bit) % SLOTS] = 1
-    hashed = lines.withColumn("line_hash", F.xxhash64("line"))
-    is_near = F.substring(F.lit(flags), slot.cast("int") + 1, F.lit(1)) != F.lit(bytearray(1))
-    found = hashed.where(is_near).join(wanted.select("line_hash").distinct().hint("shuffle_hash"), "line_hash", "left_semi")
-    sets = found.select(_ordered(F.col("line"), levels).alias("s")).select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), "s")
-    sets = materialise(sets.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("s").alias("s")), "line-sets")
-    maps = [_map_word(i) for i in range(BITS // 64)]
-    mapped = materialise(sets.select("k1", "k2", *[m.alias(f"m{i}") for i, m in enumerate(maps)]), "line-maps")
-    side = lambda t, x: t.select(*[F.col(c).alias(f"{c}_{x}") for c in t.columns])
-    both_maps = candidates.join(side(mapped, "a"), ["k1_a", "k2_a"]).join(side(mapped, "b"), ["k1_b", "k2_b"])
-    apart = sum((F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(BITS // 64)), F.lit(0))
-    near = both_maps.where((F.col("n_a") + F.col("n_b") - apart) / 2 >= need).select("k1_a", "k2_a", "k1_b", "k2_b")
-    checked = near.join(side(sets, "a"), ["k1_a", "k2_a"]).join(side(sets, "b"), ["k1_b", "k2_b"])
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    alike = both >= threshold * (F.size("s_a") + F.size("s_b") - both) - MARGIN
-    links = materialise(checked.where(alike).select("k1_a", "k2_a", "k1_b", "k2_b"), "line-links")
-
-    ends = links.select(*[F.col(f"{c}_a").alias(c) for c in ("k1", "k2")], *[F.col(f"{c}_b").alias(f"{c}_o") for c in ("k1", "k2")])
-    ends = ends.unionByName(links.select(*[F.col(f"{c}_b").alias(c) for c in ("k1", "k2")], *[F.col(f"{c}_a").alias(f"{c}_o") for c in ("k1", "k2")]))
-    firsts = classes.select(F.col("k1").alias("k1_o"), F.col("k2").alias("k2_o"), F.col("first").alias("other"))
-    linked = ends.join(firsts, ["k1_o", "k2_o"]).groupBy("k1", "k2").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
+        flags[((bucket - 1) * 8 * len(packed) + places) % SLOTS] = 1
+    is_near = F.substring(F.lit(bytearray(flags.tobytes())), slot.cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    found = lines.select(F.xxhash64("line").alias("line_hash"), "line").where(is_near).distinct()
+    key = _key(levels)
+    named = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.struct(key(F.xxhash64(w)).alias("key"), w.alias("word")))))
+    sets = found.join(wanted.hint("shuffle_hash"), "line_hash").select("cid", "n", "map", F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "line_hash").alias("place"), named.alias("named"))
+    sets = materialise(sets.dropDuplicates(["cid"]), "line-sets")
+    twice = sets.select(F.explode("named").alias("x")).select("x.*").distinct().groupBy("key").count().where("count > 1").limit(1).count()
+    sets = sets.select("cid", "n", "map", "place", F.transform("named", lambda x: F.struct(x["key"], x["word"]) if twice else x["key"]).alias("s"))
+
+    spot = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - MARGIN).cast("int") + 1)
+    member = sets.select("cid", F.posexplode(spot).alias("pos", "w"))
+    shared = materialise(member.groupBy("w").agg(F.count("*").alias("k")).where("k > 1"), "line-words")
+    member = lookup(member, shared, ["w"], ["k"], "k", max(1, shared.agg(F.sum("k")).first()[0] or 0), how="inner").join(sets, "cid")
+    chunks = F.ceil(F.col("k") / CHUNK).cast("int")
+    blocks = member.groupBy("w", chunks.alias("chunks"), F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("block")).agg(F.collect_list(F.struct("cid", "n", "pos", "map", "s", "place")).alias("sets"))
+    blocks = materialise(blocks, "line-blocks")
+    left = blocks.select("w", F.col("sets").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("block"))
+
+    def alike(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x["s"], y["s"]))
+        first = ~F.arrays_overlap(F.slice(x["s"], F.lit(1), x["pos"]), F.slice(y["s"], F.lit(1), y["pos"]))
+        can = (x["cid"] != y["cid"]) & fits(x["n"], x["pos"], x["map"], y["n"], y["pos"], y["map"])
+        return can & first & (both >= threshold * (x["n"] + y["n"] - both) - MARGIN)
+
+    hits = F.transform("xs", lambda x: F.struct(x["cid"].alias("cid"), F.filter("sets", lambda y: alike(x, y)).alias("hits")))
+    some = F.transform(F.filter(hits, lambda h: F.size(h["hits"]) > 0), lambda h: F.struct(h["cid"].alias("cid"), F.size(h["hits"]).alias("n"), F.array_min(F.transform(h["hits"], lambda y: y["place"])).alias("other")))
+    linked = left.join(blocks.select("w", "block", "sets"), ["w", "block"]).select(F.explode(some).alias("l"))
+    linked = linked.groupBy(F.col("l.cid").alias("cid")).agg(F.sum("l.n").alias("n_links"), F.min("l.other").alias("other"))
+    linked = classes.select("cid", "k1", "k2").join(materialise(linked, "line-links"), "cid").drop("cid")
     told = classes.join(linked, ["k1", "k2"], "left").select("k1", "k2", "copies", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "other")
     rows = lookup(base.select("doc_id", "line_no", "line_hash", "n", "k1", "k2"), told, ["k1", "k2"], ["copies", "first", "n_links", "other"], "copies", max(1, base.count()))
     here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
