@@ -117,7 +117,7 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a, b = prefix.alias("a"), prefix.alias("b")
     parts = [F.col(f"{t}.{c}") for t in "ab" for c in ("n", "pos", "map")]
     near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.cid") != F.col("b.cid")) & fits(*parts), "left_semi")
-    wanted = classes.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", "n", "map", "first", F.col("first.line_hash").alias("line_hash"))
+    wanted = classes.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", "k1", "k2", "n", "map", "first", F.col("first.line_hash").alias("line_hash"))
     wanted = materialise(wanted, "line-wanted")
 
     # Whole sets of those classes, from the texts again; a filter of fixed size keeps most lines out.
@@ -130,9 +130,12 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is_near = F.substring(F.lit(bytearray(flags.tobytes())), slot.cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
     found = lines.select(F.xxhash64("line").alias("line_hash"), "line").where(is_near).distinct()
     key = _key(levels)
-    named = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.struct(key(F.xxhash64(w)).alias("key"), w.alias("word")))))
-    sets = found.join(wanted.hint("shuffle_hash"), "line_hash").select("cid", "n", "map", F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "line_hash").alias("place"), named.alias("named"))
-    sets = materialise(sets.dropDuplicates(["cid"]), "line-sets")
+    named = F.sort_array(F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.struct(key(F.xxhash64(w)).alias("key"), w.alias("word"))))
+    place = F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "line_hash")
+    sets = found.join(wanted.hint("shuffle_hash"), "line_hash").select("cid", "k1", "k2", "n", "map", place.alias("place"), named.alias("named"))
+    keys = F.array_distinct(F.transform("named", lambda x: x["key"]))
+    same = (F.xxhash64(keys) == F.col("k1")) & (F.xxhash64(F.lit(1), keys) == F.col("k2"))  # another line of that hash has another set
+    sets = materialise(sets.where(same).drop("k1", "k2"), "line-sets")
     twice = sets.select(F.explode("named").alias("x")).select("x.*").distinct().groupBy("key").count().where("count > 1").limit(1).count()
     sets = sets.select("cid", "n", "map", "place", F.transform("named", lambda x: F.struct(x["key"], x["word"]) if twice else x["key"]).alias("s"))
 
@@ -140,21 +143,27 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = sets.select("cid", F.posexplode(spot).alias("pos", "w"))
     shared = materialise(member.groupBy("w").agg(F.count("*").alias("k")).where("k > 1"), "line-words")
     member = lookup(member, shared, ["w"], ["k"], "k", max(1, shared.agg(F.sum("k")).first()[0] or 0), how="inner").join(sets, "cid")
-    chunks = F.ceil(F.col("k") / CHUNK).cast("int")
-    blocks = member.groupBy("w", chunks.alias("chunks"), F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("block")).agg(F.collect_list(F.struct("cid", "n", "pos", "map", "s", "place")).alias("sets"))
-    blocks = materialise(blocks, "line-blocks")
-    left = blocks.select("w", F.col("sets").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("block"))
-
     def alike(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x["s"], y["s"]))
         first = ~F.arrays_overlap(F.slice(x["s"], F.lit(1), x["pos"]), F.slice(y["s"], F.lit(1), y["pos"]))
         can = (x["cid"] != y["cid"]) & fits(x["n"], x["pos"], x["map"], y["n"], y["pos"], y["map"])
         return can & first & (both >= threshold * (x["n"] + y["n"] - both) - MARGIN)
 
-    hits = F.transform("xs", lambda x: F.struct(x["cid"].alias("cid"), F.filter("sets", lambda y: alike(x, y)).alias("hits")))
-    some = F.transform(F.filter(hits, lambda h: F.size(h["hits"]) > 0), lambda h: F.struct(h["cid"].alias("cid"), F.size(h["hits"]).alias("n"), F.array_min(F.transform(h["hits"], lambda y: y["place"])).alias("other")))
-    linked = left.join(blocks.select("w", "block", "sets"), ["w", "block"]).select(F.explode(some).alias("l"))
-    linked = linked.groupBy(F.col("l.cid").alias("cid")).agg(F.sum("l.n").alias("n_links"), F.min("l.other").alias("other"))
+    def links(xs: str, ys: str) -> Column:
+        """(cid, n_links, other) of the sets in ``xs`` that match some in ``ys``."""
+        hits = F.transform(xs, lambda x: F.struct(x["cid"].alias("cid"), F.filter(ys, lambda y: alike(x, y)).alias("hits")))
+        some = F.filter(hits, lambda h: F.size(h["hits"]) > 0)
+        return F.transform(some, lambda h: F.struct(h["cid"].alias("cid"), F.size(h["hits"]).alias("n_links"), F.array_min(F.transform(h["hits"], lambda y: y["place"])).alias("other")))
+
+    gathered = F.collect_list(F.struct("cid", "n", "pos", "map", "s", "place")).alias("sets")
+    linked = member.where(F.col("k") <= CHUNK).groupBy("w").agg(gathered).select(F.explode(links("sets", "sets")).alias("l"))
+    if shared.where(F.col("k") > CHUNK).limit(1).count():
+        chunks = F.ceil(F.col("k") / CHUNK).cast("int")
+        blocks = member.where(F.col("k") > CHUNK).groupBy("w", chunks.alias("chunks"), F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("block")).agg(gathered)
+        blocks = materialise(blocks, "line-blocks")
+        left = blocks.select("w", F.col("sets").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("block"))
+        linked = linked.unionByName(left.join(blocks.select("w", "block", "sets"), ["w", "block"]).select(F.explode(links("xs", "sets")).alias("l")))
+    linked = linked.groupBy(F.col("l.cid").alias("cid")).agg(F.sum("l.n_links").alias("n_links"), F.min("l.other").alias("other"))
     linked = classes.select("cid", "k1", "k2").join(materialise(linked, "line-links"), "cid").drop("cid")
     told = classes.join(linked, ["k1", "k2"], "left").select("k1", "k2", "copies", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "other")
     rows = lookup(base.select("doc_id", "line_no", "line_hash", "n", "k1", "k2"), told, ["k1", "k2"], ["copies", "first", "n_links", "other"], "copies", max(1, base.count()))

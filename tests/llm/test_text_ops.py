@@ -163,6 +163,13 @@ def test_lines_equal_brute_force(spark):
     assert line_rows(got) == line_model(rows)
 
 
+def test_frequent_words_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "CHUNK", 7)
+    base = words(77, 12).split()
+    rows = [(i, "\n".join(" ".join([*base[:k], f"w{i % 23}", *base[k + 1 :]]) for k in (i % 12, (i + 5) % 12))) for i in range(60)]
+    assert line_rows(linedup.matching_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == line_model(rows)
+
+
 def test_lines_of_the_test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
     assert line_rows(linedup.matching_lines(docs)) == line_model([(r.doc_id, r.text) for r in docs.collect()])
