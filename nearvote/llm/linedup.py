@@ -132,7 +132,7 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = _key(levels)
     named = F.sort_array(F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.struct(key(F.xxhash64(w)).alias("key"), w.alias("word"))))
     place = F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "line_hash")
-    sets = found.join(wanted.hint("shuffle_hash"), "line_hash").select("cid", "k1", "k2", "n", "map", place.alias("place"), named.alias("named"))
+    sets = found.join(wanted.hint("shuffle_hash"), "line_hash").select("cid", "k1", "k2", "n", "map", place.alias("place"), F.explode(F.array(named)).alias("named"))  # made once, with one copy of the levels in the plan
     keys = F.array_distinct(F.transform("named", lambda x: x["key"]))
     same = (F.xxhash64(keys) == F.col("k1")) & (F.xxhash64(F.lit(1), keys) == F.col("k2"))  # another line of that hash has another set
     sets = materialise(sets.where(same).drop("k1", "k2"), "line-sets")
