@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can see: ``spark.checkpoint.dir``; only where it is unset (tests, a laptop) a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="nearvote-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -11,13 +11,15 @@ rejected.
 
 Learning uses a bounded sample: per language the rows of smallest hash, at most
 ``SAMPLE_DOCS`` of them and ``SAMPLE_CHARS`` characters (whole texts), so the
-model, which is broadcast, doesn't grow with the input; at most ``LANGUAGES``
-languages, the most frequent ones. Prediction is a map over the input without a
+model, which is broadcast, grows with the number of labels only. Prediction is a map over the input without a
 shuffle; each distinct word is scored once as long as a bounded memo holds it.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and is rejected; without any labelled row every text is; of languages that tie
-the first by name wins; rows without doc_id are predicted, but not learned from.
+the first by name wins; rows without doc_id are predicted, but not learned from;
+repeated rows are each predicted, and each count towards the sample; a text of any
+length is read whole; an empty table gives an empty result and no model; other
+columns pass through, the added ones take a free name.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from .common import free_name
 from .tokens import give_back, groups, texts_of
 
 ORDER = 5
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 1_000_000, 256
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_000_000
 MEMO_LIMIT = 300_000
 UNKNOWN = "und"
 BEGIN, END = 2, 32
@@ -235,7 +237,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from the labelled rows that aren't held out; None if there are none."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~is_held_out("doc_id"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per label
     if not counts:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
