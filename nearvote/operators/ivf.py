@@ -7,20 +7,24 @@ ref_id, q, label in the order of their distance to the centroid.
 
 Centroids and cells number at most 2048, so they are broadcast whatever the size
 of the input; vectors are only ever read by cell. A query's work is the cells it
-probes, a pruned window keeps its five nearest.
+probes: parts of cells meet groups of queries as packed rows, and each part hands
+on five vectors a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.distance import as_columns, box_bound, squared_l2
 from ..functions.quantise import quantise
+from ..storage import materialise
 from . import kmeans
 
 FILE_ROWS = 1 << 20
@@ -146,12 +150,48 @@ def _columns(names: str, dims: int) -> list[list[Column]]:
     return [[F.col(f"{name}{d}") for d in range(dims)] for name in names]
 
 
+#: Blocks of a cell that one row packs, and about how many queries.
+PACK_BLOCKS, PACK_QUERIES = 32, 1024
+
+
 def _candidates(queries: DataFrame, cells: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """Vectors of the cells (query_id, cell_id, probe_rank) that each query reads, with their distance."""
-    asked = queries.select("query_id", *_spread("q", "a", dims))
-    joined = vectors.select("cell_id", "pos", "ref_id", "label", *_spread("q", "r", dims)).join(cells.join(asked, "query_id"), "cell_id")
-    dist = squared_l2(*_columns("ar", dims))
-    return joined.select("query_id", "probe_rank", "pos", "ref_id", "label", dist.alias("dist"))
+    """The five nearest vectors of every packed part of the cells (query_id, cell_id, probe_rank) that each query reads.
+
+    ``cells`` may list in ``blocks`` which blocks of a cell a query reads. A cell is cut into parts of ``PACK_BLOCKS``
+    blocks and its queries into groups, so that no row grows with the input and no row is made per query and vector.
+    """
+    own = ["cell_id", "probe_rank", *(["blocks"] if "blocks" in cells.columns else [])]
+    groups = max(1, -(-queries.count() // PACK_QUERIES))
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")
+    asked = cells.join(queries.select("query_id", "q"), "query_id").groupBy("cell_id", group).agg(F.collect_list(F.struct("query_id", "q", *own[1:])).alias("asked"))
+    part = F.floor(F.col("pos") / (S.BLOCK * PACK_BLOCKS)).alias("part")
+    known = vectors.groupBy("cell_id", part).agg(F.collect_list(F.struct("pos", "block", "ref_id", "label", "q")).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = (batch.column(i).slice(row, 1).flatten() for i in (0, 1))
+                field = lambda t, name: t.field(name).to_numpy(zero_copy_only=False)
+                x, y = (t.field("q").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), dims) for t in (a, b))
+                order = np.argsort(field(b, "pos"))
+                y = y[order]
+                dist = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)  # integers below 2**53: exact
+                if "blocks" in own:
+                    block, lists = field(b, "block")[order], a.field("blocks")
+                    for i in range(len(a)):
+                        dist[i, ~np.isin(block, lists[i].values.to_numpy(zero_copy_only=False))] = np.inf
+                key = dist * (S.BLOCK * PACK_BLOCKS) + np.arange(len(y))  # ties by place
+                few = min(S.K, len(y))
+                key = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1)
+                who, rank = np.nonzero(np.isfinite(key))
+                at = order[(key[who, rank] % (S.BLOCK * PACK_BLOCKS)).astype(np.int64)]
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": field(a, "query_id")[who], "probe_rank": field(a, "probe_rank")[who].astype(np.int32), "pos": field(b, "pos")[at].astype(np.int32),
+                    "ref_id": field(b, "ref_id")[at], "label": field(b, "label")[at].astype(np.int32), "dist": (key[who, rank] // (S.BLOCK * PACK_BLOCKS)).astype(np.int64),
+                })
+
+    rows = known.join(asked, "cell_id").select("asked", "known")
+    return rows.mapInArrow(run, "query_id long, probe_rank int, pos int, ref_id long, label int, dist long")
 
 
 def _nearest(candidates: DataFrame, k: int = S.K) -> DataFrame:
@@ -174,41 +214,35 @@ def search_fixed(index: Index, queries: DataFrame, nprobe: int, prune: bool = Fa
 
 def _pruned(index: Index, queries: DataFrame, cells: DataFrame) -> DataFrame:
     """Candidates without the blocks that can't matter: those whose box is no nearer than the first cell's fifth vector."""
-    first = _nearest(_candidates(queries, cells.where("probe_rank = 1"), index.vectors, index.dims))
+    first = materialise(_nearest(_candidates(queries, cells.where("probe_rank = 1"), index.vectors, index.dims)), "first")
     limit = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == S.K, F.col("dist"))).alias("limit"))
     n = index.dims
     asked = queries.select("query_id", *_spread("q", "a", n)).join(limit, "query_id", "left")
     blocks = index.blocks.select("cell_id", "block", *_spread("lo", "l", n), *_spread("hi", "h", n))
     bound = box_bound(*_columns("alh", n))
-    near = cells.join(asked, "query_id").join(blocks, "cell_id")
-    near = near.where((F.col("probe_rank") == 1) | F.col("limit").isNull() | (bound < F.col("limit")))
-    near = near.select("query_id", "probe_rank", "cell_id", "block", *_columns("a", n)[0])
-    joined = index.vectors.select("cell_id", "block", "pos", "ref_id", "label", *_spread("q", "r", n)).join(near, ["cell_id", "block"])
-    dist = squared_l2(*_columns("ar", n))
-    return joined.select("query_id", "probe_rank", "pos", "ref_id", "label", dist.alias("dist"))
+    near = cells.where("probe_rank > 1").join(asked, "query_id").join(blocks, "cell_id")
+    near = near.where(F.col("limit").isNull() | (bound < F.col("limit")))
+    near = near.groupBy("query_id", "cell_id", "probe_rank").agg(F.collect_list("block").alias("blocks"))
+    return first.drop("rank").unionByName(_candidates(queries, near, index.vectors, n))
 
 
 def search(index: Index, queries: DataFrame, options: S.SearchOptions = S.SearchOptions()) -> DataFrame:
     """query_id, fraud: the vote of the five nearest, with wider probing where it is ambiguous."""
     o = options.within(index.centroids.count())
     cells = probes(queries, index.centroids, o.repair_probe, index.dims).drop("cell_dist")
-    found = _candidates(queries, cells, index.vectors, index.dims)
-    narrow = _nearest(found.where(F.col("probe_rank") <= o.nprobe))
+    inner = F.col("probe_rank") <= o.nprobe
+    narrow = materialise(_nearest(_candidates(queries, cells.where(inner), index.vectors, index.dims)).drop("rank"), "narrow")
     ambiguous = lambda c: F.col(c).between(o.repair_min, o.repair_max)
+    few = _counted(queries.select("query_id"), narrow, "few")
     if o.repair_probe == o.nprobe and not o.repair_candidates:
-        return _counted(queries.select("query_id"), narrow)
-    # One pass: the five nearest of the wide probe and, among the first cells, of the narrow one.
-    wide = Window.partitionBy("query_id").orderBy(*ORDER)
-    inner = Window.partitionBy("query_id", "is_inner").orderBy(*ORDER)
-    ranked = found.withColumn("is_inner", F.col("probe_rank") <= o.nprobe).withColumns({"r_wide": F.row_number().over(wide), "r_inner": F.row_number().over(inner)})
-    ranked = ranked.where((F.col("r_wide") <= S.K) | (F.col("is_inner") & (F.col("r_inner") <= S.K)))
-    votes = ranked.groupBy("query_id").agg(
-        F.sum(F.when(F.col("is_inner") & (F.col("r_inner") <= S.K), F.col("label")).otherwise(0)).alias("few"),
-        F.sum(F.when(F.col("r_wide") <= S.K, F.col("label")).otherwise(0)).alias("many"),
-    )
-    asked = queries.select("query_id")
-    votes = asked.join(votes, "query_id", "left").fillna(0, ["few", "many"])
-    votes = votes.select("query_id", F.when(ambiguous("few"), F.col("many")).otherwise(F.col("few")).cast("int").alias("fraud"), ambiguous("few").alias("widened"))
+        return few.withColumnRenamed("few", "fraud")
+    # The ambiguous ones alone read the outer cells too; what they found in the inner ones is kept.
+    unsure = few.where(ambiguous("few")).select("query_id")
+    outer = _candidates(queries.join(unsure, "query_id", "left_semi"), cells.where(~inner), index.vectors, index.dims)
+    wide = _nearest(narrow.join(unsure, "query_id", "left_semi").unionByName(outer))
+    many = wide.groupBy("query_id").agg(F.sum("label").cast("int").alias("many"))
+    votes = few.join(many, "query_id", "left").select("query_id", F.when(ambiguous("few"), F.coalesce("many", F.lit(0))).otherwise(F.col("few")).alias("fraud"), ambiguous("few").alias("widened"))
+    votes = materialise(votes, "votes") if o.repair_candidates else votes
     if not o.repair_candidates:
         return votes.select("query_id", "fraud")
     # Still ambiguous: read more cells, by the bound of their boxes, after all that were probed.

@@ -253,6 +253,13 @@ def ivf_search_adaptive(spark, sf_dir):
     return decide.decided(ivf.search(index, asked, SMALL))
 
 
+@query
+def ivf_search_default(spark, sf_dir):
+    """The search options as they are by default: 10 cells, 48 where the vote is ambiguous."""
+    asked, index = _index(spark, sf_dir)
+    return decide.decided(ivf.search(index, asked))
+
+
 @query
 def ivf_search_repair(spark, sf_dir):
     asked, index = _index(spark, sf_dir)
@@ -305,7 +312,7 @@ def warmup_vectors(spark, sf_dir):
 def warmup_scores(spark, sf_dir):
     """The generated vectors scored by the index."""
     _, index = _index(spark, sf_dir)
-    asked = transactions.warmup_vectors(spark, 256).select(F.col("id").alias("query_id"), quantise.quantise_array("v").alias("q"))
+    asked = transactions.warmup_vectors(spark).select(F.col("id").alias("query_id"), quantise.quantise_array("v").alias("q"))
     return decide.decided(ivf.search(index, asked, SMALL))
 
 
@@ -382,17 +389,15 @@ def stream_intervals(spark, sf_dir):
     _samples(spark, sf_dir).coalesce(1).sortWithinPartitions("ts").write.parquet(source)
     rows = spark.readStream.schema("stage string, ts timestamp_ntz, ns long, k int").parquet(source)
     totals = metrics.intervals(rows.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", late="1 hour")
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{name}/n={number}")
-    totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{name}-state").trigger(availableNow=True).start().awaitTermination()
-    return _last_batch(spark, name)
+    write = lambda batch, number: batch.withColumnRenamed("n", "samples").withColumn("batch_no", F.lit(number)).write.mode("overwrite").parquet(f"{name}/batch={number}")
+    totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{name}-state").trigger(availableNow=True).start().awaitTermination()
+    return _latest(spark.read.parquet(name))  # intervals that changed, by batch; the watermark lets old ones go
 
 
-def _last_batch(spark, path):
-    rows = spark.read.parquet(f"{path}/*").withColumn("file", F.input_file_name())
-    number = F.regexp_extract("file", "/n=([0-9]+)/", 1).cast("int")
-    rows = rows.withColumn("batch", number)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).select(F.col("interval_start").cast("timestamp_ntz").alias("interval_start"), F.col("n").alias("samples"), "sum_us", "max_us")
+def _latest(found):
+    """Each interval as the last batch that changed it left it."""
+    order = F.col("batch_no")
+    return found.groupBy(F.col("interval_start").cast("timestamp_ntz").alias("interval_start")).agg(*[F.max_by(c, order).alias(n) for c, n in (("samples", "samples"), ("sum_us", "sum_us"), ("max_us", "max_us"))])
 
 
 ORACLES: dict[str, str] = oracles.build(CELLS, SMALL, REPAIR)

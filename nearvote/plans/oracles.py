@@ -69,7 +69,7 @@ def _l2(a: str, b: str) -> str:
 
 SIDES = f"""{FEATURES},
 asked AS (SELECT event_id AS query_id, {', '.join(f'q{d} AS a{d}' for d in DIMS)} FROM feat WHERE event_id % 50 = 0),
-known AS (SELECT event_id AS ref_id, label, {', '.join(f'q{d} AS r{d}' for d in DIMS)} FROM feat WHERE event_id % 5 <> 0)"""
+known AS (SELECT event_id AS ref_id, label, {', '.join(f'q{d} AS r{d}' for d in DIMS)} FROM feat WHERE event_id % 50 <> 0)"""
 
 DECIDED = "CASE WHEN fraud BETWEEN 0 AND 5 THEN fraud ELSE 0 END < 3 AS approved, CAST(CASE WHEN fraud BETWEEN 0 AND 5 THEN fraud ELSE 0 END AS DOUBLE) / 5 AS fraud_score"
 
@@ -188,7 +188,7 @@ def build(cells: int, small: S.SearchOptions, repair: S.SearchOptions) -> dict[s
     nearest = f"""near AS (
       SELECT q.vec_id AS query_id, r.vec_id AS ref_id, r.label, {_list_l2('q.q', 'r.q')} AS dist FROM emb q JOIN emb r ON q.vec_id <> r.vec_id WHERE q.vec_id % 10 = 0
       QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, r.vec_id) <= 5)"""
-    warm = f"""asked AS (SELECT i AS query_id, {', '.join(_quantised(f"CASE WHEN i % 4 = 0 AND {str(d in (5, 6)).lower()} THEN CAST(-1 AS FLOAT) ELSE " + _div(f'(i * 131 + {d} * 17) % 1000', '1000') + ' END') + f' AS a{d}' for d in DIMS)} FROM range(256) t(i))"""
+    warm = f"""asked AS (SELECT i AS query_id, {', '.join(_quantised(f"CASE WHEN i % 4 = 0 AND {str(d in (5, 6)).lower()} THEN CAST(-1 AS FLOAT) ELSE " + _div(f'(i * 131 + {d} * 17) % 1000', '1000') + ' END') + f' AS a{d}' for d in DIMS)} FROM range(2048) t(i))"""
     warm_index = index.replace("asked AS", "unasked AS", 1)
     return {
         "features_float": f"WITH {TX} SELECT event_id, {', '.join(f'CAST(round_even(CAST({x} AS DOUBLE) * 1e6, 0) AS BIGINT) AS {name}' for name, x in zip(S.FEATURES, FLOATS, strict=True))} FROM tx",
@@ -216,6 +216,7 @@ def build(cells: int, small: S.SearchOptions, repair: S.SearchOptions) -> dict[s
         "ivf_search_fixed": fixed,
         "ivf_search_pruned": fixed,
         "ivf_search_adaptive": adaptive,
+        "ivf_search_default": f"WITH {index},{_probed(S.SearchOptions().repair_probe)},{_adaptive(S.SearchOptions())} SELECT query_id, fraud, {DECIDED} FROM voted",
         "ivf_search_repair": f"WITH {index},{_probed(repair.repair_probe)},{_adaptive(repair)},{_repair(repair)} SELECT query_id, fraud, {DECIDED} FROM final",
         "ivf_reranked": f"{probe4}, five AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, probe_rank, pos) <= 5) SELECT query_id, CAST(sum(label) AS INTEGER) AS fraud, CAST(count(*) AS INTEGER) AS found FROM five GROUP BY query_id",
         "ivf_recall": f"{probe4}, five AS (SELECT query_id, ref_id FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, probe_rank, pos) <= 5), truth AS (SELECT query_id, ref_id FROM (SELECT query_id, ref_id, row_number() OVER (PARTITION BY query_id ORDER BY {_l2('a', 'r')}, ref_id) AS n FROM asked, known) WHERE n <= 5) SELECT count(f.ref_id) AS hits, count(*) AS wanted FROM truth t LEFT JOIN five f ON f.query_id = t.query_id AND f.ref_id = t.ref_id",
