@@ -235,6 +235,16 @@ def test_held_out_rows_teach_nothing(spark):
     assert "xx" not in langid.fit(changed).languages
 
 
+def test_block_names_depend_on_the_data_alone(spark):
+    texts = [words(i % 9, 40 + 30 * (i % 4)) for i in range(40)]
+    frame = lambda n: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(n)
+    one, other = ({r.doc_id: (r.level, r.name) for r in blocknames.identities(frame(n), block=32).collect()} for n in (2, 7))
+    assert one == other
+    lowest = sorted({name for level, name in one.values() if level == max(one.values())[0]})
+    assert all(n < len(texts) for n in lowest)
+    assert blocknames.identities(frame(3), block=32, by_content=True).count() == 40
+
+
 # Shared parts
 
 
