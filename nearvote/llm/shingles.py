@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import sha_of
+from .common import materialise, sha_of
 from .tokens import give_back
 
 
@@ -43,6 +43,10 @@ def names(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([signed(xxh64_intdigest(s.tobytes(), 42)) for s in sets], pa.int64())
 
 
+#: Hashes of texts that are broadcast, 32 bytes each; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 200_000
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "text") -> DataFrame:
     """(node, grams), one row per node, of the texts that ``wanted(sha)`` lists; sets of other texts are not made again."""
 
@@ -54,7 +58,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "tex
             give_back()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), sha_of(text_col).alias("sha"))
-    rows = rows.join(wanted.hint("shuffle_hash"), "sha", "left_semi").select("text")
+    wanted = materialise(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
+    rows = rows.join(wanted, "sha", "left_semi").select("text")
     return rows.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
