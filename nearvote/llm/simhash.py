@@ -25,7 +25,7 @@ families from the number of texts, so that a bucket holds some ``MATES`` texts
 that are unlike at any size, and a pair at the threshold meets with probability
 ``RECALL``. Pairs left by the ring are compared over the bits of all families
 (at least ``LEAST_FAMILIES``) and then exactly on whole sets. Members of a bucket
-are first compared to four of its members only, so that a large group of near
+are first compared to two of its members only, so that a large group of near
 copies becomes one component by a few comparisons a member; then all pairs of
 different components in a bucket are, never those within one large component.
 
@@ -346,12 +346,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     within = lambda v, w: _chain(v.bitwiseXOR(w), F.col("start"), widths, budgets, 2)
     rows = _members(nodes, window, searched)
-    draw = F.xxhash64("node")
-    pick = lambda i, f, by: [f("node", by).alias(f"least{i}"), f("v", by).alias(f"w{i}")]
-    picks = [c for i, (f, by) in enumerate(((F.min_by, "node"), (F.max_by, "node"), (F.min_by, draw), (F.max_by, draw))) for c in pick(i, f, by)]
+    picks = [c for i, (f, by) in enumerate(((F.min, F.min_by), (F.max, F.max_by))) for c in (f("node").alias(f"least{i}"), by("v", "node").alias(f"w{i}"))]
     buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("k"), *picks).where("k > 1"), "buckets")
-    spread = lookup(rows, buckets, ["key"], [f"{c}{i}" for i in range(4) for c in ("least", "w")], "k", max(1, buckets.agg(F.sum("k")).first()[0] or 0), how="inner")
-    hits = F.filter(F.array(*[F.when((F.col("node") != F.col(f"least{i}")) & within(F.col("v"), F.col(f"w{i}")), F.col(f"least{i}")) for i in range(4)]), lambda x: x.isNotNull())
+    spread = lookup(rows, buckets, ["key"], [f"{c}{i}" for i in range(2) for c in ("least", "w")], "k", max(1, buckets.agg(F.sum("k")).first()[0] or 0), how="inner")
+    hits = F.filter(F.array(*[F.when((F.col("node") != F.col(f"least{i}")) & within(F.col("v"), F.col(f"w{i}")), F.col(f"least{i}")) for i in range(2)]), lambda x: x.isNotNull())
     stars = spread.select(F.col("node").alias("a"), F.explode(hits).alias("b"))
     stars = links_of(near(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "stars")
     crowded = materialise(buckets.where(F.col("k") > CROWDED * MATES).select("key"), "crowded")
