@@ -361,11 +361,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     placed = materialise(placed.select("node", "size", "fps", F.coalesce("root", "node").alias("c"), (F.coalesce("members", F.lit(1)) > LARGE).alias("large")), "placed")
     extra = ("c", "size", "fps")
     single, many = (_members(placed.where(f), window, searched, extra) for f in ("not large", "large"))
-    lean = _members(placed.where("not large"), window, searched, ("c",)).join(crowded, "key", "left_anti")
-    right = lean.select("key", F.col("node").alias("other"), F.col("v").alias("w"), F.col("c").alias("d"))
-    once = _first_start(F.col("v").bitwiseXOR(F.col("w")), F.col("start"), window)
-    close = (F.col("c") < F.col("d")) & within(F.col("v"), F.col("w")) & once
-    rest = near(lean.join(right, "key").where(close).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    lean = _members(placed.where("not large"), window, searched, ("c",)).join(crowded, "key", "left_anti").select("key", "node", "v", "c")
+    start, x = F.pmod(F.shiftrightunsigned("a.key", window), F.lit(STARTS)).cast("int"), F.col("a.v").bitwiseXOR(F.col("b.v"))
+    close = (F.col("a.c") < F.col("b.c")) & _chain(x, start, widths, budgets, 2) & _first_start(x, start, window)
+    met = lean.alias("a").join(lean.alias("b"), (F.col("a.key") == F.col("b.key")) & close)  # both sides alike, so they are shuffled once
+    rest = near(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
 
     slots = F.flatten(F.transform(F.slice("fps", 1, searched), lambda fp, f: F.array(*[_key(fp, f * STARTS + i, at, window) for i, at in enumerate(_offsets())])))
     side = lambda t, x: t.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", *extra)], slots.alias(f"slots_{x}"))
