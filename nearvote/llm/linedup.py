@@ -1,4 +1,8 @@
-"""Near-duplicate lines by an exact set-similarity join, with DataFrame operations only.
+"""Near-duplicate lines by an exact set-similarity join.
+
+Texts are cut into word sets by Arrow batches in Python: as DataFrame functions, which came
+first, the cutting alone took more CPU than the whole operator may. The join is DataFrame
+operations.
 
 A line is the set of its words (lower case, between white space). Two lines
 match if the Jaccard similarity of their sets is at least ``threshold``; of
@@ -36,56 +40,155 @@ id and text are not read.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import free_name, lookup, materialise
+from .common import discard, free_name, lookup, materialise
+from .shingles import signed
+from .tokens import give_back
 
 BUCKETS = 1 << 20
-STEPS = 4  # levels per doubling of a count; a level is a letter of ASCII
+STEPS = 4  # levels per doubling of a count; a at most 126 levels
 SLOTS = 1 << 20  # of the filter that tells which lines are cut into sets again
 CHUNK = 1024  # sets in a block
 MARGIN = 1e-9
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[ \t\r\u000b\f]+"), lambda w: w != "")
-
-
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1))
+WORD = re.compile("[^ \t\r\x0b\f]+")
+MEMO = 1 << 18  # words that a task holds
+ROWS = 256  # texts whose lines are sent on at once
 
 
-def _bit(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+def _hash(text: str) -> int:
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def _parity(words: str) -> Column:
-    """64 bits, each the parity of the words that fall on it: two sets' maps differ in no more bits than the sets do in words."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(_bit(k)))
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield list(zip(*(part.column(i).to_pylist() for i in range(column + 1)), strict=True))
 
 
 def bucket_levels(docs: DataFrame, text_col: str) -> bytes:
     """Per bucket the level of its count, of all words of all texts."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), "[ \t\r\n\u000b\f]+")).alias("w")).where("w <> ''")
-    counts = words.select(_bucket(F.xxhash64("w")).cast("int").alias("b")).groupBy("b").count()
-    level = F.least(F.lit(126), 1 + F.floor(F.log2("count") * STEPS)).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held = np.zeros(BUCKETS, np.int64), Counter()
+
+        def settle() -> None:
+            at = np.fromiter((_hash(w) & (BUCKETS - 1) for w in held), np.int64, len(held))
+            np.add.at(counts, at, np.fromiter(held.values(), np.int64, len(held)))
+            held.clear()
+
+        for rows in _texts(batches, 0):
+            for (text,) in rows:
+                for line in text.split("\n"):
+                    held.update(WORD.findall(line.lower()))
+                    if len(held) > MEMO:
+                        settle()
+        settle()
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"b": pa.array(found, pa.int32()), "k": counts[found]})
+        give_back()
+
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "b int, k long").groupBy("b").agg(F.sum("k").alias("k"))
+    level = F.least(F.lit(126), 1 + F.floor(F.log2("k") * STEPS)).cast("int")
     found = counts.select("b", level.alias("level")).toArrow()  # a row per bucket at most
     out = np.zeros(BUCKETS, np.uint8)
     out[found.column("b").to_numpy()] = found.column("level").to_numpy()
     return out.tobytes()
 
 
-def _key(levels: Column):
-    level = lambda h: F.ascii(F.substring(levels, _bucket(h).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    return lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-
-def _ordered(line: Column, levels: Column) -> Column:
-    """The line's words as integers, rarest first, each once."""
-    key = _key(levels)
-    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: key(F.xxhash64(w)))))
+class _Keys(dict):
+    """A word's integer: its bucket's level, then 56 bits of its hash."""
+
+    def __init__(self, levels: bytes) -> None:
+        self.levels = levels
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = _hash(word)
+        self[word] = key = self.levels[h & (BUCKETS - 1)] << 56 | h >> 8
+        return key
+
+
+def _pair(keys: np.ndarray) -> tuple[int, int]:
+    """128 bits that name the set."""
+    digest = xxh3_128_digest(keys.tobytes())
+    return signed(int.from_bytes(digest[:8], "big")), signed(int.from_bytes(digest[8:], "big"))
+
+
+def _arrays(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
+
+
+def _prefix_size(n: int, threshold: float) -> int:
+    """No set of fewer than threshold / (1 - threshold) words has a match other than itself."""
+    return n - math.ceil(n * threshold - MARGIN) + 1 if n >= threshold / (1 - threshold) - MARGIN else 0
+
+
+def _line_sets(docs: DataFrame, id_col: str, text_col: str, levels: bytes, threshold: float) -> DataFrame:
+    """A row per line: its set's name, size, prefix (rarest words first) and parity map, in which each of 64 bits is
+    the parity of the words that fall on it: two maps differ in no more bits than the sets do in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = _Keys(levels)
+        for rows in _texts(batches, 1):
+            ids, numbers, hashes, sizes, names, prefixes, maps = [], [], [], [], [], [], []
+            for doc_id, text in rows:
+                for number, line in enumerate(text.split("\n")):
+                    s = np.array(sorted({key[w] for w in WORD.findall(line.lower())}), np.int64)
+                    ids.append(doc_id)
+                    numbers.append(number)
+                    hashes.append(signed(_hash(line)))
+                    sizes.append(len(s))
+                    names.append(_pair(s))
+                    prefixes.append(s[: _prefix_size(len(s), threshold)])
+                    maps.append(np.bitwise_xor.reduce(np.left_shift(1, s & 63)))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(ids, pa.int64()), "line_no": pa.array(numbers, pa.int32()), "line_hash": pa.array(hashes, pa.int64()), "n": pa.array(sizes, pa.int32()),
+                "k1": pa.array([k for k, _ in names], pa.int64()), "k2": pa.array([k for _, k in names], pa.int64()), "prefix": _arrays(prefixes), "map": pa.array(maps, pa.int64()),
+            })
+        give_back()
+
+    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return lean.mapInArrow(run, "doc_id long, line_no int, line_hash long, n int, k1 long, k2 long, prefix array<long>, map long")
+
+
+def _whole_sets(docs: DataFrame, text_col: str, levels: bytes, flags: bytes) -> DataFrame:
+    """(line_hash, k1, k2, named) of the lines whose slot is flagged; ``named`` are a set's words by their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen = _Keys(levels), set()  # a frequent line leaves a task about once
+        for rows in _texts(batches, 0):
+            found = {}
+            for (text,) in rows:
+                if len(seen) >= MEMO:
+                    seen.clear()
+                for line in text.split("\n"):
+                    h = signed(_hash(line))
+                    if flags[h % SLOTS] and line not in found and (x := xxh3_128_digest(line.encode("utf-8", "surrogatepass"))) not in seen:
+                        seen.add(x)
+                        found[line] = (h, sorted({(key[w], w) for w in WORD.findall(line.lower())}))
+            names = [_pair(np.array(sorted({k for k, _ in s}), np.int64)) for _, s in found.values()]
+            yield pa.RecordBatch.from_pydict({
+                "line_hash": pa.array([h for h, _ in found.values()], pa.int64()), "k1": pa.array([a for a, _ in names], pa.int64()), "k2": pa.array([b for _, b in names], pa.int64()),
+                "named": pa.array([[{"key": k, "word": w} for k, w in s] for _, s in found.values()], pa.list_(pa.struct([("key", pa.int64()), ("word", pa.string())]))),
+            })
+        give_back()
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "line_hash long, k1 long, k2 long, named array<struct<key:long,word:string>>")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,13 +200,8 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per line: doc_id, line_no, n_words, class_doc_id and class_line (the class's first line), class_size,
     n_links (other classes that match), match_doc_id and match_line (the earliest earlier match), kept."""
     texts = docs.where(F.col(text_col).isNotNull())
-    levels = F.lit(bytearray(bucket_levels(texts, text_col)))
-    lines = _lines(texts, id_col, text_col)
-    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), F.explode(F.array(_ordered(F.col("line"), levels))).alias("s")).withColumn("n", F.size("s"))
-    least = threshold / (1 - threshold)  # different sets of fewer words can't match
-    size = F.when(F.col("n") >= least - MARGIN, F.col("n") - F.ceil(F.col("n") * threshold - MARGIN).cast("int") + 1).otherwise(0)
-    base = keyed.select("doc_id", "line_no", "line_hash", "n", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.slice("s", F.lit(1), size).alias("prefix"), _parity("s").alias("map"))
-    base = materialise(base, "lines")
+    levels = bucket_levels(texts, text_col)
+    base = materialise(_line_sets(texts, id_col, text_col, levels, threshold), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "line_hash")
     classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
@@ -127,15 +225,11 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for bucket, packed in bits.items():
         places = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
         flags[((bucket - 1) * 8 * len(packed) + places) % SLOTS] = 1
-    is_near = F.substring(F.lit(bytearray(flags.tobytes())), slot.cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
-    found = lines.select(F.xxhash64("line").alias("line_hash"), "line").where(is_near).distinct()
-    key = _key(levels)
-    named = F.sort_array(F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.struct(key(F.xxhash64(w)).alias("key"), w.alias("word"))))
     place = F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "line_hash")
-    sets = found.join(wanted.hint("shuffle_hash"), "line_hash").select("cid", "k1", "k2", "n", "map", place.alias("place"), F.explode(F.array(named)).alias("named"))  # made once, with one copy of the levels in the plan
-    keys = F.array_distinct(F.transform("named", lambda x: x["key"]))
-    same = (F.xxhash64(keys) == F.col("k1")) & (F.xxhash64(F.lit(1), keys) == F.col("k2"))  # another line of that hash has another set
-    sets = materialise(sets.where(same).drop("k1", "k2"), "line-sets")
+    found = _whole_sets(texts, text_col, levels, flags.tobytes())
+    named = ["line_hash", "k1", "k2"]  # another line of that hash has another set
+    sets = found.dropDuplicates(named).join(wanted.hint("shuffle_hash"), named)
+    sets = materialise(sets.select("cid", "n", "map", place.alias("place"), "named"), "line-sets")
     twice = sets.select(F.explode("named").alias("x")).select("x.*").distinct().groupBy("key").count().where("count > 1").limit(1).count()
     sets = sets.select("cid", "n", "map", "place", F.transform("named", lambda x: F.struct(x["key"], x["word"]) if twice else x["key"]).alias("s"))
 
