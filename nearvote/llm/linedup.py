@@ -16,8 +16,8 @@ filter), and their sizes must be near (length filter); a parity map of 64 bits
 bounds the words in which they differ.
 
 1. A left semi join on prefix words under these filters tells which classes can
-   have a partner; it makes at most a row per class and prefix word.
-2. Whole sets are made for those classes only. They are gathered by prefix word in
+   have a partner, and at which words; it makes at most a row per class and prefix word.
+2. Whole sets are made for those classes only. They are gathered by these words in
    blocks of at most about ``CHUNK``, a frequent word's in several, and each pair
    of blocks is one row, in which a pair of sets is taken at the first word that
    it shares, verified by its exact Jaccard similarity and counted on the spot.
@@ -215,6 +215,7 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a, b = prefix.alias("a"), prefix.alias("b")
     parts = [F.col(f"{t}.{c}") for t in "ab" for c in ("n", "pos", "map")]
     near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.cid") != F.col("b.cid")) & fits(*parts), "left_semi")
+    near = materialise(near.select("cid", "pos", "w"), "line-near")  # a pair that matches has both its rows at the first word it shares here
     wanted = classes.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", "k1", "k2", "n", "map", "first", F.col("first.line_hash").alias("line_hash"))
     wanted = materialise(wanted, "line-wanted")
 
@@ -233,15 +234,15 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = sets.select(F.explode("named").alias("x")).select("x.*").distinct().groupBy("key").count().where("count > 1").limit(1).count()
     sets = sets.select("cid", "n", "map", "place", F.transform("named", lambda x: F.struct(x["key"], x["word"]) if twice else x["key"]).alias("s"))
 
-    spot = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - MARGIN).cast("int") + 1)
-    member = sets.select("cid", F.posexplode(spot).alias("pos", "w"))
-    shared = materialise(member.groupBy("w").agg(F.count("*").alias("k")).where("k > 1"), "line-words")
-    member = lookup(member, shared, ["w"], ["k"], "k", max(1, shared.agg(F.sum("k")).first()[0] or 0), how="inner").join(sets, "cid")
+    shared = materialise(near.groupBy("w").agg(F.count("*").alias("k")), "line-words")
+    member = lookup(near, shared, ["w"], ["k"], "k", max(1, shared.agg(F.sum("k")).first()[0] or 0), how="inner").join(sets, "cid")
+
     def alike(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x["s"], y["s"]))
-        first = ~F.arrays_overlap(F.slice(x["s"], F.lit(1), x["pos"]), F.slice(y["s"], F.lit(1), y["pos"]))
+        keys = lambda z: F.array_distinct(F.transform(z["s"], lambda e: e["key"])) if twice else z["s"]
+        first = ~F.arrays_overlap(F.slice(keys(x), F.lit(1), x["pos"]), F.slice(keys(y), F.lit(1), y["pos"]))
         can = (x["cid"] != y["cid"]) & fits(x["n"], x["pos"], x["map"], y["n"], y["pos"], y["map"])
-        return can & first & (both >= threshold * (x["n"] + y["n"] - both) - MARGIN)
+        return can & first & (both >= threshold * (F.size(x["s"]) + F.size(y["s"]) - both) - MARGIN)
 
     def links(xs: str, ys: str) -> Column:
         """(cid, n_links, other) of the sets in ``xs`` that match some in ``ys``."""
