@@ -175,6 +175,27 @@ def test_lines_of_the_test_table(spark):
     assert line_rows(linedup.matching_lines(docs)) == line_model([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_words_in_common_by_parts(monkeypatch):
+    monkeypatch.setattr(linedup, "COLUMNS", 3)
+    r = random.Random(5)
+    sets = [[set(r.sample(range(40), r.randint(0, 12))) for _ in range(n)] for n in (9, 6)]
+    a, b = ((np.repeat(np.arange(len(s)), [len(x) for x in s]), np.array([v for x in s for v in x])) for s in sets)
+    assert linedup._common(a, 9, b, 6).tolist() == [[len(x & y) for y in sets[1]] for x in sets[0]]
+    off = ~np.eye(9, dtype=bool)  # a set with itself is never asked for
+    assert linedup._common(a, 9, a, 9)[off].tolist() == np.array([[len(x & y) for y in sets[0]] for x in sets[0]])[off].tolist()
+
+
+def test_words_that_share_a_key_are_told_apart(spark):
+    """Words themselves decide where a key names two of them; places and earlier words go by keys."""
+    entry = "struct<place:struct<last:boolean,doc_id:long,line_no:int,line_hash:long>,cid:long,pos:int,s:array<long>,words:array<string>>"
+    sets = [((False, i, 0, i), i, 1, [1, 5, 5, 6, 7, 8], ["r", w, "x", "k", "l", "m"]) for i, w in enumerate("aab")]
+    rows = spark.createDataFrame([(sets, None)], f"xs array<{entry}>, ys array<{entry}>")
+    links = {r.cid: (r.n_links, r.other.doc_id) for r in linedup._links(rows, 0.8).collect()}
+    assert links == {}  # all share key 1, which comes before
+    rows = spark.createDataFrame([([(p, c, 0, k, w) for p, c, _, k, w in sets], None)], rows.schema)
+    assert {r.cid: (r.n_links, r.other.doc_id) for r in linedup._links(rows, 0.8).collect()} == {0: (1, 1), 1: (1, 0)}
+
+
 def test_odd_lines(spark, odd_docs, no_docs):
     got = linedup.matching_lines(odd_docs).collect()
     assert len(got) == sum(len(r.text.split("\n")) for r in odd_docs.collect() if r.text is not None)
