@@ -42,19 +42,16 @@ id and text are not read.
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
-from .common import discard, free_name, lookup, materialise
-from .shingles import signed
+from .common import free_name, lookup, materialise
+from .simhash import _mixed
 from .tokens import give_back
 
 BUCKETS = 1 << 20
@@ -65,40 +62,82 @@ COLUMNS = 4096  # words that are compared at once
 MARGIN = 1e-9
 
 
-WORD = re.compile("[^ \t\r\x0b\f]+")
-MEMO = 1 << 18  # words that a task holds
-ROWS = 256  # texts whose lines are sent on at once
+MEMO = 1 << 18  # sets that a task remembers to have sent
+ROWS, CHARS = 256, 1 << 20  # texts, and about as many characters, that are cut at once
+LONG = 64  # bytes of a word that are hashed word by word
 
+#: The bytes between words, besides the line end; the constants of 64-bit FNV-1a.
+BLANKS, LINE_END = b" \t\r\x0b\x0c", 10
+FNV_START, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
-def _hash(text: str) -> int:
-    return xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+BETWEEN = np.isin(np.arange(256), [*BLANKS, LINE_END])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
+    """Rows of the first columns, in parts; ``column`` holds the text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            yield list(zip(*(part.column(i).to_pylist() for i in range(column + 1)), strict=True))
+        held, chars = [], 0
+        for i in range(batch.num_rows):
+            held.append(tuple(batch.column(c)[i].as_py() for c in range(column + 1)))
+            chars += len(held[-1][column])
+            if len(held) >= ROWS or chars >= CHARS:
+                yield held
+                held, chars = [], 0
+        if held:
+            yield held
+
+
+class _Cut:
+    """The words of some texts: where they start and end in ``data``, their lines (numbered over all texts) and hashes."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.lines = np.array([t.count("\n") + 1 for t in texts])
+        self.data = "\n".join(texts).lower().encode("utf-8", "surrogatepass")
+        bytes_ = np.frombuffer(self.data, np.uint8)
+        inside = np.zeros(len(bytes_) + 2, np.int8)
+        inside[1:-1] = ~BETWEEN[bytes_]
+        edges = np.diff(inside)
+        self.starts, self.ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        self.line = np.searchsorted(np.flatnonzero(bytes_ == LINE_END), self.starts)
+        sizes = self.ends - self.starts
+        order = np.argsort(-sizes, kind="stable")
+        starts, held = self.starts[order], np.full(len(order), FNV_START)
+        for j in range(min(LONG, int(sizes.max(initial=0)))):
+            k = np.searchsorted(-sizes[order], -j)  # words longer than j
+            held[:k] = (held[:k] ^ bytes_[starts[:k] + j]) * FNV_PRIME
+        hashes = np.empty_like(held)
+        hashes[order] = held
+        for i in np.flatnonzero(sizes > LONG):
+            hashes[i] = xxh64_intdigest(self.data[self.starts[i] : self.ends[i]])
+        self.hashes = _mixed(hashes, np.uint64(0))
+
+    def sets(self, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key of each word, and of the distinct keys, by line and rarity: line, key; per line: size, two names)."""
+        keys = (levels[(self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | self.hashes >> np.uint64(8)).view(np.int64)
+        order = np.lexsort((keys, self.line))
+        line, key = self.line[order], keys[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+        line, key = line[new], key[new]
+        n = np.bincount(line, minlength=self.lines.sum())
+        return keys, line, key, n, *(_per_line(np.add, _mixed(key.view(np.uint64), np.uint64(i)), n) for i in (1, 2))
+
+
+def _per_line(by: np.ufunc, values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``by`` over each line's values, 0 for a line without."""
+    out, some = np.zeros(len(n), np.uint64), n > 0
+    if some.any():
+        out[some] = by.reduceat(values, (np.cumsum(n) - n)[some])
+    return out.view(np.int64)
 
 
 def bucket_levels(docs: DataFrame, text_col: str) -> bytes:
     """Per bucket the level of its count, of all words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = np.zeros(BUCKETS, np.int64), Counter()
-
-        def settle() -> None:
-            at = np.fromiter((_hash(w) & (BUCKETS - 1) for w in held), np.int64, len(held))
-            np.add.at(counts, at, np.fromiter(held.values(), np.int64, len(held)))
-            held.clear()
-
+        counts = np.zeros(BUCKETS, np.int64)
         for rows in _texts(batches, 0):
-            for (text,) in rows:
-                for line in text.split("\n"):
-                    held.update(WORD.findall(line.lower()))
-                    if len(held) > MEMO:
-                        settle()
-        settle()
+            counts += np.bincount((_Cut([t for (t,) in rows]).hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"b": pa.array(found, pa.int32()), "k": counts[found]})
         give_back()
@@ -111,87 +150,78 @@ def bucket_levels(docs: DataFrame, text_col: str) -> bytes:
     return out.tobytes()
 
 
-class _Keys(dict):
-    """A word's integer: its bucket's level, then 56 bits of its hash."""
-
-    def __init__(self, levels: bytes) -> None:
-        self.levels = levels
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = _hash(word)
-        self[word] = key = self.levels[h & (BUCKETS - 1)] << 56 | h >> 8
-        return key
-
-
-def _pair(keys: np.ndarray) -> tuple[int, int]:
-    """128 bits that name the set."""
-    digest = xxh3_128_digest(keys.tobytes())
-    return signed(int.from_bytes(digest[:8], "big")), signed(int.from_bytes(digest[8:], "big"))
+def _prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
+    """No set of fewer than threshold / (1 - threshold) words has a match other than itself."""
+    return np.where(n >= threshold / (1 - threshold) - MARGIN, n - np.ceil(n * threshold - MARGIN).astype(np.int64) + 1, 0)
 
 
-def _arrays(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
+def _line_names(docs: DataFrame, id_col: str, text_col: str, levels: bytes) -> DataFrame:
+    """A row per line: its place, its set's size and name."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(levels, np.uint8)
+        for rows in _texts(batches, 1):
+            cut = _Cut([t for _, t in rows])
+            *_, n, k1, k2 = cut.sets(table)
+            text = np.repeat(np.arange(len(rows)), cut.lines)
+            number = np.arange(len(text)) - np.repeat(np.cumsum(cut.lines) - cut.lines, cut.lines)
+            ids = pa.array([i for i, _ in rows], pa.int64()).take(pa.array(text))
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "line_no": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "k1": k1, "k2": k2})
+        give_back()
 
-def _prefix_size(n: int, threshold: float) -> int:
-    """No set of fewer than threshold / (1 - threshold) words has a match other than itself."""
-    return n - math.ceil(n * threshold - MARGIN) + 1 if n >= threshold / (1 - threshold) - MARGIN else 0
+    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return lean.mapInArrow(run, "doc_id long, line_no int, n int, k1 long, k2 long")
 
 
-def _line_sets(docs: DataFrame, id_col: str, text_col: str, levels: bytes, threshold: float) -> DataFrame:
-    """A row per line: its set's name, size, prefix (rarest words first) and parity map, in which each of 64 bits is
-    the parity of the words that fall on it: two maps differ in no more bits than the sets do in words."""
+def _line_prefixes(docs: DataFrame, text_col: str, levels: bytes, threshold: float) -> DataFrame:
+    """(k1, k2, prefix, map) of the sets that can match, about once a task: rarest words first, and a parity map, in which
+    each of 64 bits is the parity of the words that fall on it: two maps differ in no more bits than the sets do in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = _Keys(levels)
-        for rows in _texts(batches, 1):
-            ids, numbers, hashes, sizes, names, prefixes, maps = [], [], [], [], [], [], []
-            for doc_id, text in rows:
-                for number, line in enumerate(text.split("\n")):
-                    s = np.array(sorted({key[w] for w in WORD.findall(line.lower())}), np.int64)
-                    ids.append(doc_id)
-                    numbers.append(number)
-                    hashes.append(signed(_hash(line)))
-                    sizes.append(len(s))
-                    names.append(_pair(s))
-                    prefixes.append(s[: _prefix_size(len(s), threshold)])
-                    maps.append(np.bitwise_xor.reduce(np.left_shift(1, s & 63)))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "line_no": pa.array(numbers, pa.int32()), "line_hash": pa.array(hashes, pa.int64()), "n": pa.array(sizes, pa.int32()),
-                "k1": pa.array([k for k, _ in names], pa.int64()), "k2": pa.array([k for _, k in names], pa.int64()), "prefix": _arrays(prefixes), "map": pa.array(maps, pa.int64()),
-            })
+        table, seen = np.frombuffer(levels, np.uint8), set()
+        for rows in _texts(batches, 0):
+            _, line, key, n, k1, k2 = _Cut([t for (t,) in rows]).sets(table)
+            size = _prefix_sizes(n, threshold)
+            maps = _per_line(np.bitwise_xor, np.left_shift(np.uint64(1), key.view(np.uint64) & np.uint64(63)), n)
+            if len(seen) >= MEMO:
+                seen.clear()
+            send = np.zeros(len(n), bool)
+            for i in np.flatnonzero(size).tolist():
+                if (name := (k1[i], k2[i])) not in seen:
+                    seen.add(name)
+                    send[i] = True
+            nth = np.arange(len(key)) - (np.cumsum(n) - n)[line]
+            prefix = key[send[line] & (nth < size[line])]
+            ends = np.concatenate(([0], np.cumsum(size[send])))
+            yield pa.RecordBatch.from_pydict({"k1": k1[send], "k2": k2[send], "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), "map": maps[send]})
         give_back()
 
-    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return lean.mapInArrow(run, "doc_id long, line_no int, line_hash long, n int, k1 long, k2 long, prefix array<long>, map long")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "k1 long, k2 long, prefix array<long>, map long")
 
 
 def _whole_sets(docs: DataFrame, text_col: str, levels: bytes, flags: bytes) -> DataFrame:
-    """(line_hash, k1, k2, named) of the lines whose slot is flagged; ``named`` are a set's words by their keys."""
+    """(k1, k2, named) of the sets whose slot is flagged; ``named`` are a set's words by their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seen = _Keys(levels), set()  # a frequent line leaves a task about once
+        table, wanted, seen = np.frombuffer(levels, np.uint8), np.frombuffer(flags, np.uint8), set()  # a frequent set leaves a task about once
         for rows in _texts(batches, 0):
-            found = {}
-            for (text,) in rows:
-                if len(seen) >= MEMO:
-                    seen.clear()
-                for line in text.split("\n"):
-                    h = signed(_hash(line))
-                    if flags[h % SLOTS] and line not in found and (x := xxh3_128_digest(line.encode("utf-8", "surrogatepass"))) not in seen:
-                        seen.add(x)
-                        found[line] = (h, sorted({(key[w], w) for w in WORD.findall(line.lower())}))
-            names = [_pair(np.array(sorted({k for k, _ in s}), np.int64)) for _, s in found.values()]
+            cut = _Cut([t for (t,) in rows])
+            keys, _, _, n, k1, k2 = cut.sets(table)
+            first, found = np.searchsorted(cut.line, np.arange(len(n) + 1)), {}
+            if len(seen) >= MEMO:
+                seen.clear()
+            for i in np.flatnonzero((n > 0) & (wanted[k1 % SLOTS] > 0)).tolist():
+                if (name := (k1[i], k2[i])) not in seen:
+                    seen.add(name)
+                    here = range(first[i], first[i + 1])
+                    found[name] = sorted({(keys[j].item(), cut.data[cut.starts[j] : cut.ends[j]].decode("utf-8", "replace")) for j in here})
             yield pa.RecordBatch.from_pydict({
-                "line_hash": pa.array([h for h, _ in found.values()], pa.int64()), "k1": pa.array([a for a, _ in names], pa.int64()), "k2": pa.array([b for _, b in names], pa.int64()),
-                "named": pa.array([[{"key": k, "word": w} for k, w in s] for _, s in found.values()], pa.list_(pa.struct([("key", pa.int64()), ("word", pa.string())]))),
+                "k1": pa.array([a for a, _ in found], pa.int64()), "k2": pa.array([b for _, b in found], pa.int64()),
+                "named": pa.array([[{"key": k, "word": w} for k, w in s] for s in found.values()], pa.list_(pa.struct([("key", pa.int64()), ("word", pa.string())]))),
             })
         give_back()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "line_hash long, k1 long, k2 long, named array<struct<key:long,word:string>>")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "k1 long, k2 long, named array<struct<key:long,word:string>>")
 
 
 class _Block:
@@ -279,35 +309,37 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_links (other classes that match), match_doc_id and match_line (the earliest earlier match), kept."""
     texts = docs.where(F.col(text_col).isNotNull())
     levels = bucket_levels(texts, text_col)
-    base = materialise(_line_sets(texts, id_col, text_col, levels, threshold), "lines")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "line_hash")
-    classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
+    base = materialise(_line_names(texts, id_col, text_col, levels), "lines")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "k1")
+    classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+    prefix = _line_prefixes(texts, text_col, levels, threshold).groupBy("k1", "k2").agg(F.first("prefix").alias("prefix"), F.first("map").alias("map"))
+    prefix = classes.select("k1", "k2", "cid", "n").join(prefix, ["k1", "k2"]).select("cid", "n", "map", "prefix")
+    prefix = materialise(prefix, "line-prefixes")
 
     def fits(n_a: Column, pos_a: Column, map_a: Column, n_b: Column, pos_b: Column, map_b: Column) -> Column:
         need = F.ceil((n_a + n_b) * (threshold / (1 + threshold)) - MARGIN)
         sizes = (n_a >= n_b * threshold - MARGIN) & (n_b >= n_a * threshold - MARGIN)
         return sizes & (F.least(n_a - pos_a, n_b - pos_b) >= need) & (F.bit_count(map_a.bitwiseXOR(map_b)) <= n_a + n_b - 2 * need)
 
-    prefix = classes.where(F.size("prefix") > 0).select("cid", "n", "map", F.posexplode("prefix").alias("pos", "w"))
+    prefix = prefix.select("cid", "n", "map", F.posexplode("prefix").alias("pos", "w"))
     a, b = prefix.alias("a"), prefix.alias("b")
     parts = [F.col(f"{t}.{c}") for t in "ab" for c in ("n", "pos", "map")]
     near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.cid") != F.col("b.cid")) & fits(*parts), "left_semi")
     near = materialise(near.select("cid", "pos", "w"), "line-near")  # a pair that matches has both its rows at the first word it shares here
-    wanted = classes.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", "k1", "k2", "n", "map", "first", F.col("first.line_hash").alias("line_hash"))
+    wanted = classes.join(near.select("cid").distinct(), "cid", "left_semi").select("cid", "k1", "k2", "first")
     wanted = materialise(wanted, "line-wanted")
 
     # Whole sets of those classes, from the texts again; a filter of fixed size keeps most lines out.
-    slot = F.pmod(F.col("line_hash"), F.lit(SLOTS))
+    slot = F.pmod(F.col("k1"), F.lit(SLOTS))
     bits = {r["bucket"]: bytes(r["bits"]) for r in wanted.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits")).collect()}
     flags = np.zeros(SLOTS, np.uint8)
     for bucket, packed in bits.items():
         places = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
         flags[((bucket - 1) * 8 * len(packed) + places) % SLOTS] = 1
-    place = F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "line_hash")
+    place = F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("first.k1").alias("k1"))
     found = _whole_sets(texts, text_col, levels, flags.tobytes())
-    named = ["line_hash", "k1", "k2"]  # another line of that hash has another set
-    sets = found.dropDuplicates(named).join(wanted.hint("shuffle_hash"), named)
+    sets = found.dropDuplicates(["k1", "k2"]).join(wanted.hint("shuffle_hash"), ["k1", "k2"])
     sets = materialise(sets.select("cid", place.alias("place"), "named"), "line-sets")
     twice = sets.select(F.explode("named").alias("x")).select("x.*").distinct().groupBy("key").count().where("count > 1").limit(1).count()
     sets = sets.select("cid", "place", F.transform("named", lambda x: x["key"]).alias("s"), *([F.transform("named", lambda x: x["word"]).alias("words")] if twice else []))
@@ -327,7 +359,7 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = linked.groupBy("cid").agg(F.sum("n_links").alias("n_links"), F.min("other").alias("other"))
     linked = classes.select("cid", "k1", "k2").join(materialise(linked, "line-links"), "cid").drop("cid")
     told = classes.join(linked, ["k1", "k2"], "left").select("k1", "k2", "copies", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "other")
-    rows = lookup(base.select("doc_id", "line_no", "line_hash", "n", "k1", "k2"), told, ["k1", "k2"], ["copies", "first", "n_links", "other"], "copies", max(1, base.count()))
+    rows = lookup(base.select("doc_id", "line_no", "n", "k1", "k2"), told, ["k1", "k2"], ["copies", "first", "n_links", "other"], "copies", max(1, base.count()))
     here = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     place = lambda c: F.struct(F.col(f"{c}.last").alias("last"), F.col(f"{c}.doc_id").alias("doc_id"), F.col(f"{c}.line_no").alias("line_no"))
     earliest = F.least(place("first"), F.when(F.col("other").isNotNull(), place("other")))
