@@ -92,7 +92,7 @@ class _Cut:
 
     def __init__(self, texts: list[str]) -> None:
         self.lines = np.array([t.count("\n") + 1 for t in texts])
-        self.data = "\n".join(texts).lower().encode("utf-8", "surrogatepass")
+        self.data = "\n".join([t.lower() for t in texts]).encode("utf-8", "surrogatepass")
         bytes_ = np.frombuffer(self.data, np.uint8)
         inside = np.zeros(len(bytes_) + 2, np.int8)
         inside[1:-1] = ~BETWEEN[bytes_]
@@ -100,10 +100,13 @@ class _Cut:
         self.starts, self.ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         self.line = np.searchsorted(np.flatnonzero(bytes_ == LINE_END), self.starts)
         sizes = self.ends - self.starts
-        order = np.argsort(-sizes, kind="stable")
+        short = np.minimum(sizes, LONG).astype(np.int16)
+        order = np.argsort(-short, kind="stable")
         starts, held = self.starts[order], np.full(len(order), FNV_START)
-        for j in range(min(LONG, int(sizes.max(initial=0)))):
-            k = np.searchsorted(-sizes[order], -j)  # words longer than j
+        longer = len(short) - np.cumsum(np.bincount(short, minlength=LONG + 1))  # words of more than j bytes
+        for j, k in enumerate(longer[:LONG].tolist()):
+            if not k:
+                break
             held[:k] = (held[:k] ^ bytes_[starts[:k] + j]) * FNV_PRIME
         hashes = np.empty_like(held)
         hashes[order] = held
@@ -155,48 +158,34 @@ def _prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(n >= threshold / (1 - threshold) - MARGIN, n - np.ceil(n * threshold - MARGIN).astype(np.int64) + 1, 0)
 
 
-def _line_names(docs: DataFrame, id_col: str, text_col: str, levels: bytes) -> DataFrame:
-    """A row per line: its place, its set's size and name."""
+def _line_sets(docs: DataFrame, id_col: str, text_col: str, levels: bytes, threshold: float) -> DataFrame:
+    """A row per line: its place, its set's size and name; and, about once a task and set, prefix (rarest words first) and
+    parity map, in which each of 64 bits is the parity of the words that fall on it: two maps differ in no more bits than
+    the sets do in words. The prefix is empty elsewhere and for sets that can't match another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(levels, np.uint8)
+        table, seen = np.frombuffer(levels, np.uint8), set()
         for rows in _texts(batches, 1):
             cut = _Cut([t for _, t in rows])
-            *_, n, k1, k2 = cut.sets(table)
-            text = np.repeat(np.arange(len(rows)), cut.lines)
-            number = np.arange(len(text)) - np.repeat(np.cumsum(cut.lines) - cut.lines, cut.lines)
-            ids = pa.array([i for i, _ in rows], pa.int64()).take(pa.array(text))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "line_no": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "k1": k1, "k2": k2})
-        give_back()
-
-    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return lean.mapInArrow(run, "doc_id long, line_no int, n int, k1 long, k2 long")
-
-
-def _line_prefixes(docs: DataFrame, text_col: str, levels: bytes, threshold: float) -> DataFrame:
-    """(k1, k2, prefix, map) of the sets that can match, about once a task: rarest words first, and a parity map, in which
-    each of 64 bits is the parity of the words that fall on it: two maps differ in no more bits than the sets do in words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.frombuffer(levels, np.uint8), set()
-        for rows in _texts(batches, 0):
-            _, line, key, n, k1, k2 = _Cut([t for (t,) in rows]).sets(table)
+            _, line, key, n, k1, k2 = cut.sets(table)
             size = _prefix_sizes(n, threshold)
-            maps = _per_line(np.bitwise_xor, np.left_shift(np.uint64(1), key.view(np.uint64) & np.uint64(63)), n)
             if len(seen) >= MEMO:
                 seen.clear()
-            send = np.zeros(len(n), bool)
             for i in np.flatnonzero(size).tolist():
-                if (name := (k1[i], k2[i])) not in seen:
-                    seen.add(name)
-                    send[i] = True
-            nth = np.arange(len(key)) - (np.cumsum(n) - n)[line]
-            prefix = key[send[line] & (nth < size[line])]
-            ends = np.concatenate(([0], np.cumsum(size[send])))
-            yield pa.RecordBatch.from_pydict({"k1": k1[send], "k2": k2[send], "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), "map": maps[send]})
+                if (name := (k1[i], k2[i])) in seen:
+                    size[i] = 0
+                seen.add(name)
+            prefix = key[np.arange(len(key)) - (np.cumsum(n) - n)[line] < size[line]]
+            prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(prefix))
+            maps = _per_line(np.bitwise_xor, np.left_shift(np.uint64(1), key.view(np.uint64) & np.uint64(63)), n)
+            text = np.repeat(np.arange(len(rows)), cut.lines)
+            number = np.arange(len(text)) - np.repeat(np.cumsum(cut.lines) - cut.lines, cut.lines)
+            ids = pa.array([i for i, _ in rows], pa.int64()).take(pa.array(text))
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "line_no": pa.array(number, pa.int32()), "n": pa.array(n, pa.int32()), "k1": k1, "k2": k2, "prefix": prefixes, "map": maps})
         give_back()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "k1 long, k2 long, prefix array<long>, map long")
+    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return lean.mapInArrow(run, "doc_id long, line_no int, n int, k1 long, k2 long, prefix array<long>, map long")
 
 
 def _whole_sets(docs: DataFrame, text_col: str, levels: bytes, flags: bytes) -> DataFrame:
@@ -309,11 +298,11 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_links (other classes that match), match_doc_id and match_line (the earliest earlier match), kept."""
     texts = docs.where(F.col(text_col).isNotNull())
     levels = bucket_levels(texts, text_col)
-    base = materialise(_line_names(texts, id_col, text_col, levels), "lines")
+    base = materialise(_line_sets(texts, id_col, text_col, levels, threshold), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "k1")
     classes = base.where("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
-    prefix = _line_prefixes(texts, text_col, levels, threshold).groupBy("k1", "k2").agg(F.first("prefix").alias("prefix"), F.first("map").alias("map"))
+    prefix = base.where(F.size("prefix") > 0).groupBy("k1", "k2").agg(F.first("prefix").alias("prefix"), F.first("map").alias("map"))
     prefix = classes.select("k1", "k2", "cid", "n").join(prefix, ["k1", "k2"]).select("cid", "n", "map", "prefix")
     prefix = materialise(prefix, "line-prefixes")
 
