@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.features import as_vector, vectorise
 from ..operators import ivf
 from ..operators.decide import decided
-from ..operators.knn import exact_top_k, nearest_in
+from ..operators.knn import Leaves, exact_top_k, leaves_of, nearest_in
 from ..schema import K, SearchOptions
 from ..sources.payload import parse_bodies
 
@@ -72,16 +72,21 @@ def score_batches(index: ivf.Index, options: SearchOptions, sink: Callable[[Data
     return lambda batch, number: sink(score_batch(batch, index, options, id_col), number)
 
 
-def score_batch_exact(bodies: DataFrame, refs: DataFrame, id_col: str = "event_id") -> DataFrame:
-    """As score_stream, for a table; rows are told apart by place, so ids may repeat. refs: ref_id, q, label."""
+def _leaves(refs: DataFrame) -> Leaves:
+    return leaves_of(refs.select(F.col("ref_id").alias("id"), "label", "q"))
+
+
+def score_batch_exact(bodies: DataFrame, refs: DataFrame | Leaves, id_col: str = "event_id") -> DataFrame:
+    """As score_stream, for a table; rows are told apart by place, so ids may repeat. refs: ref_id, q, label, or packed already."""
     vectors = vectors_of(bodies, id_col).withColumn("place", F.monotonically_increasing_id()).cache()
     asked = vectors.where("parse_ok").select(F.col("place").alias("id"), "q")
-    found = exact_top_k(asked, refs.select(F.col("ref_id").alias("id"), "label", "q"), K)
+    found = exact_top_k(asked, refs if isinstance(refs, Leaves) else _leaves(refs), K)
     votes = found.groupBy(F.col("query_id").alias("place")).agg(F.sum("label").cast("int").alias("fraud"))
     rows = vectors.select("place", "query_id", "parse_ok").join(votes, "place", "left")
     return decided(rows.select("query_id", "parse_ok", F.coalesce("fraud", F.lit(0)).alias("fraud")))
 
 
 def score_batches_exact(refs: DataFrame, sink: Callable[[DataFrame, int], None], id_col: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: score each micro-batch against all references and hand the decisions to ``sink``."""
-    return lambda batch, number: sink(score_batch_exact(batch, refs, id_col), number)
+    """For ``writeStream.foreachBatch``: score each micro-batch against all references, packed once, and hand the decisions to ``sink``."""
+    known = _leaves(refs)
+    return lambda batch, number: sink(score_batch_exact(batch, known, id_col), number)
