@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import free_name, lookup, materialise
-from .simhash import _mixed
+from .shingles import _mixed
 from .tokens import give_back
 
 BUCKETS = 1 << 20

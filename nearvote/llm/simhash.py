@@ -28,6 +28,9 @@ that are unlike at any size, and a pair at the threshold meets with probability
 are first compared to two of its members only, so that a large group of near
 copies becomes one component by a few comparisons a member; then all pairs of
 different components in a bucket are, never those within one large component.
+Crowded buckets and those of large components are compared by blocks (``groups``):
+components whose members' fingerprints allow a link, in a chain, become a group, and
+within each group all pairs of different components are compared exactly.
 
 Defined results: rows are grouped by fingerprint (or set), so repeated rows,
 repeated doc_ids and rows without doc_id each get the component of their text; a
@@ -48,23 +51,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import groups
 from .common import discard, lookup, materialise
-from .shingles import names, sets_of, shingle_hashes, shingle_set, signed, verified
+from .shingles import BROADCAST_ROWS, _mixed, names, sets_of, shingle_hashes, shingle_set, signed, verified
 from .tokens import give_back
 
 BITS = 64
 CHUNK = 1 << 15  # shingles whose bits are counted at once
 
 
-def _mixed(hashes: np.ndarray, n: np.uint64 | np.ndarray) -> np.ndarray:
-    """Hashes mixed with a constant of their family's own."""
-    with np.errstate(over="ignore"):
-        z = hashes + n * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        return z ^ z >> np.uint64(31)
-
-
 def _family(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of another family: 0 is XXH64 itself."""
     return _mixed(hashes, np.uint64(n)) if n else hashes
@@ -228,7 +223,8 @@ MATES, RECALL = 16, 0.98
 LEAST_FAMILIES = 16  # that texts are compared by; fewer may be searched
 SHORT = 64  # shingles below which an even vote is so frequent that bits differ more than the angle tells
 STARTS = 5  # segments of the ring
-CROWDED = 4  # times MATES; in a bucket with more members, all families are compared at once
+CROWDED = 4  # times MATES; a bucket with more members is compared by blocks
+NEAREST = 4  # of its buckets' least and largest members that a node is compared to first
 LARGE = 32  # members from which a component's own pairs are kept out of the buckets' joins
 
 
@@ -350,8 +346,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("k"), *picks).where("k > 1"), "buckets")
     spread = lookup(rows, buckets, ["key"], [f"{c}{i}" for i in range(2) for c in ("least", "w")], "k", max(1, buckets.agg(F.sum("k")).first()[0] or 0), how="inner")
     hits = F.filter(F.array(*[F.when((F.col("node") != F.col(f"least{i}")) & within(F.col("v"), F.col(f"w{i}")), F.col(f"least{i}")) for i in range(2)]), lambda x: x.isNotNull())
-    stars = spread.select(F.col("node").alias("a"), F.explode(hits).alias("b"))
-    stars = links_of(near(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "stars")
+    # Of a node's hits the nearest few: what these leave apart, the buckets' joins compare again.
+    hits = F.transform(hits, lambda x: F.struct(F.bit_count(F.col("v").bitwiseXOR(F.when(x == F.col("least0"), F.col("w0")).otherwise(F.col("w1")))).alias("apart"), x.alias("b")))
+    stars = spread.select(F.col("node").alias("a"), F.explode(hits).alias("hit")).select("a", F.greatest("a", "hit.b").alias("more"), F.least("a", "hit.b").alias("less"), "hit.apart")
+    stars = stars.groupBy("a", "more", "less").agg(F.min("apart").alias("apart"))
+    stars = stars.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "more", "less"))), 1, NEAREST).alias("hits")).select(F.explode("hits").alias("hit"))
+    stars = links_of(near(stars.select(F.col("hit.more").alias("a"), F.col("hit.less").alias("b"))), "stars")
     crowded = materialise(buckets.where(F.col("k") > CROWDED * MATES).select("key"), "crowded")
     discard(buckets)
     roots = materialise(components(stars), "roots")
@@ -359,29 +359,25 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     size = roots.groupBy("root").agg(F.count("*").alias("members"))
     placed = nodes.join(roots.join(size, "root"), "node", "left")
     placed = materialise(placed.select("node", "size", "fps", F.coalesce("root", "node").alias("c"), (F.coalesce("members", F.lit(1)) > LARGE).alias("large")), "placed")
-    extra = ("c", "size", "fps")
-    single, many = (_members(placed.where(f), window, searched, extra) for f in ("not large", "large"))
     lean = _members(placed.where("not large"), window, searched, ("c",)).join(crowded, "key", "left_anti").select("key", "node", "v", "c")
     start, x = F.pmod(F.shiftrightunsigned("a.key", window), F.lit(STARTS)).cast("int"), F.col("a.v").bitwiseXOR(F.col("b.v"))
     close = (F.col("a.c") < F.col("b.c")) & _chain(x, start, widths, budgets, 2) & _first_start(x, start, window)
     met = lean.alias("a").join(lean.alias("b"), (F.col("a.key") == F.col("b.key")) & close)  # both sides alike, so they are shuffled once
-    rest = near(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-
-    slots = F.flatten(F.transform(F.slice("fps", 1, searched), lambda fp, f: F.array(*[_key(fp, f * STARTS + i, at, window) for i, at in enumerate(_offsets())])))
-    side = lambda t, x: t.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", *extra)], slots.alias(f"slots_{x}"))
-    met = F.array_position("slots_a", F.col("key")).cast("int") - 1  # at the first bucket that both are in
-    allowed = alike("a", "b") & ~F.arrays_overlap(F.slice("slots_a", F.lit(1), met), F.slice("slots_b", F.lit(1), met))
-    found = lambda t: t.where(allowed).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    dense = single.join(crowded, "key", "left_semi")
-    dear = found(side(dense, "a").join(side(dense, "b"), "key").where("c_a < c_b"))
-    if placed.where("large").limit(1).count():
-        kinds = many.select("key", "c").distinct()
-        beside = single.join(kinds.select("key").distinct(), "key", "left_semi")
-        meet = kinds.withColumnRenamed("c", "c_a").join(kinds.withColumnRenamed("c", "c_b"), "key").where("c_a < c_b")
-        dear = dear.unionByName(found(side(many, "a").join(side(beside, "b"), "key")))
-        dear = dear.unionByName(found(side(many, "a").join(meet, ["key", "c_a"]).join(side(many, "b"), ["key", "c_b"])))
-    rest = rest.unionByName(dear).distinct()
-    more = links_of(rest, "rest")
+    more = links_of(near(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))), "rest")
+
+    # Crowded buckets and those with members of a large component: no pair becomes a row.
+    held = _members(placed.where("large"), window, searched, ("c",)).select("key").unionByName(crowded).distinct()
+    held = materialise(held, "dense")
+    if many := held.count():
+        held = F.broadcast(held) if many <= BROADCAST_ROWS else held
+        dense = _members(placed, window, searched, ("c", "large")).select("key", "node", "c", "large").join(held, "key", "left_semi")
+        mixed = dense.groupBy("key").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("key")
+        dense = dense.join(mixed, "key", "left_semi").join(placed.select("node", "size", "fps"), "node")
+        kinds = materialise(components(groups.alike(dense, similarity, SHORT, loose, most)), "kinds")
+        dense = placed.select("node", "c", "large", "size").join(kinds.select(F.col("node").alias("c"), F.col("root").alias("key")), "c")
+        dense = materialise(dense, "dense-nodes")
+        sets = sets_of(docs, nodes.join(dense.select("node"), "node", "left_semi").select("sha"), width, text_col)
+        more = more.unionByName(materialise(groups.verified(dense.join(sets, "node"), similarity), "dense-links"))
     if more.limit(1).count():
         roots = materialise(components(stars.unionByName(more)), "roots")
     count_of = nodes.select("node", "n").join(roots, "node")

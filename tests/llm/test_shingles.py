@@ -6,7 +6,8 @@ import itertools
 import random
 
 import corpus_pipeline
-from nearvote.llm import simhash
+import numpy as np
+from nearvote.llm import groups, simhash
 from tests.conftest import SF
 from tests.llm.conftest import words
 
@@ -91,6 +92,41 @@ def test_a_large_group_does_not_hide_its_neighbours(spark):
     assert {r.doc_id for r in simhash.kept(found).collect()} == kept_by_brute_force(rows)
 
 
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Copies so changed that most pairs are somewhat below 0.8: each would be a row to verify."""
+    base = words(33_000, 200)
+    texts = [base, *copies(3, base, [1 + i % 7 for i in range(240)]), *[words(34_000 + i, 150) for i in range(20)]]
+    monkeypatch.setattr(groups, "ROWS", 50)
+    met, verify = [], simhash.verified
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    rows = list(enumerate(texts))
+    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in simhash.kept(found).collect()} == kept_by_brute_force(rows)
+    assert sum(met) <= 6 * len(rows)
+
+
+def test_forest_connects_what_the_pairs_connect():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 1), (30, 20), (5, 60)):
+        match = r.random((n, m)) < 2 / (n + m)
+        found = groups.forest(match)
+
+        def parts(pairs):
+            top = {}
+            for i, j in pairs:
+                a, b = top.get((0, i), {(0, i)}), top.get((1, j), {(1, j)})
+                top |= dict.fromkeys(a | b, a | b)
+            return {frozenset(x) for x in top.values()}
+
+        assert parts(found) == parts(np.argwhere(match).tolist())
+        assert all(match[i, j] for i, j in found) and len(found) < n + m
+
+
 def test_search_plan_keeps_its_promise_at_any_size():
     for n in (1, 200, 50_000, 10**7, 10**10):
         window, families, tau = simhash.plan_search(n)
