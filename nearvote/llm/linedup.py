@@ -30,8 +30,8 @@ Rarity is the count of a word's bucket among ``BUCKETS`` on a scale of logarithm
 all lines gives exact results, a finer one only fewer candidates. The table of
 levels, a byte per bucket, is the one thing sent to all tasks; its size is
 fixed. A word is known by 56 bits of its hash and its bucket's level; that this
-names each word of the verified sets once is checked, else the words themselves
-are compared. A class is known by 128 bits of its set.
+names each word of the verified sets once is checked by a second hash of 64 bits, else the
+words themselves are compared. A class is known by 128 bits of its set.
 
 Defined results: a line without words matches nothing and stays; a null text has
 no lines; rows without doc_id are later than all others; rows that repeat doc_id
@@ -43,6 +43,7 @@ id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,11 @@ LONG = 64  # bytes of a word that are hashed word by word
 BLANKS, LINE_END = b" \t\r\x0b\x0c", 10
 FNV_START, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
+#: Of the second hash: an odd factor and its inverse modulo 2^64, a number for each byte.
+UP = np.uint64(0x9E3779B97F4A7C15)
+DOWN = np.uint64(pow(int(UP), -1, 1 << 64))
+BYTES = _mixed(np.arange(1, 257, dtype=np.uint64), np.uint64(7))
+
 BETWEEN = np.isin(np.arange(256), [*BLANKS, LINE_END])
 
 
@@ -114,10 +120,27 @@ class _Cut:
             hashes[i] = xxh64_intdigest(self.data[self.starts[i] : self.ends[i]])
         self.hashes = _mixed(hashes, np.uint64(0))
 
+    def _by_line(self, keys: np.ndarray) -> np.ndarray:
+        """Order by line and key; by one number of both where that tells all keys apart, as it is sorted far sooner."""
+        if len(self.line) and self.line[-1] < 1 << 15:
+            both = self.line.astype(np.int64) << 48 | keys >> 15
+            order = np.argsort(both)
+            both, sorted_keys = both[order], keys[order]
+            if not ((both[1:] == both[:-1]) & (sorted_keys[1:] != sorted_keys[:-1])).any():
+                return order
+        return np.lexsort((keys, self.line))
+
+    def checks(self) -> np.ndarray:
+        """A second hash of each word, a polynomial of its bytes, to tell words of one key apart."""
+        bytes_ = np.frombuffer(self.data, np.uint8)
+        ups, downs = _powers(1 << (len(bytes_) | 1).bit_length())
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[bytes_] * ups[: len(bytes_)], dtype=np.uint64)))
+        return _mixed((sums[self.ends] - sums[self.starts]) * downs[self.starts], np.uint64(3)).view(np.int64)
+
     def sets(self, levels: np.ndarray) -> tuple[np.ndarray, ...]:
         """(key of each word, and of the distinct keys, by line and rarity: line, key; per line: size, two names)."""
         keys = (levels[(self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | self.hashes >> np.uint64(8)).view(np.int64)
-        order = np.lexsort((keys, self.line))
+        order = self._by_line(keys)
         line, key = self.line[order], keys[order]
         new = np.ones(len(key), bool)
         new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
@@ -126,6 +149,12 @@ class _Cut:
         return keys, line, key, n, *(_per_line(np.add, _mixed(key.view(np.uint64), np.uint64(i)), n) for i in (1, 2))
 
 
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, ...]:
+    """Powers of UP and DOWN from 0 on."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))), dtype=np.uint64) for x in (UP, DOWN))
+
+
 def _per_line(by: np.ufunc, values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """``by`` over each line's values, 0 for a line without."""
     out, some = np.zeros(len(n), np.uint64), n > 0
@@ -188,6 +217,56 @@ def _line_sets(docs: DataFrame, id_col: str, text_col: str, levels: bytes, thres
     return lean.mapInArrow(run, "doc_id long, line_no int, n int, k1 long, k2 long, prefix array<long>, map long")
 
 
+def _key_sets(docs: DataFrame, text_col: str, levels: bytes, flags: bytes) -> DataFrame:
+    """(k1, k2, s, words) of the sets whose slot is flagged, by their sorted keys; rows without k1 have keys and the second
+    hashes of their words, each about once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, wanted, seen, known = np.frombuffer(levels, np.uint8), np.frombuffer(flags, np.uint8), set(), np.zeros((0, 2), np.int64)
+        for rows in _texts(batches, 0):
+            cut = _Cut([t for (t,) in rows])
+            keys, _, key, n, k1, k2 = cut.sets(table)
+            if len(seen) >= MEMO:
+                seen.clear()
+            new = np.zeros(len(n), bool)
+            hit = np.flatnonzero((n > 0) & (wanted[k1 % SLOTS] > 0))
+            for i, name in zip(hit.tolist(), zip(k1[hit].tolist(), k2[hit].tolist(), strict=True), strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    new[i] = True
+            if not new.any():
+                continue
+            here = new[cut.line]
+            words = _distinct(keys[here], cut.checks()[here])
+            if len(known) >= MEMO:
+                known = known[:0]
+            old = len(known)
+            both = np.concatenate((known, words))
+            order = np.lexsort((np.arange(len(both)), both[:, 1], both[:, 0]))
+            first = np.ones(len(both), bool)
+            first[1:] = (both[order][1:] != both[order][:-1]).any(axis=1)
+            fresh = order[first & (order >= old)]
+            fresh, known = both[fresh], both[order[first]]
+            ends = np.concatenate(([0], np.cumsum(n[new]), [n[new].sum() + len(fresh)]))
+            yield pa.RecordBatch.from_pydict({
+                "k1": pa.array([*k1[new].tolist(), None], pa.int64()), "k2": pa.array([*k2[new].tolist(), None], pa.int64()),
+                "s": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate((key[np.repeat(new, n)], fresh[:, 0])))),
+                "words": pa.array([*[None] * int(new.sum()), fresh[:, 1].tolist()], pa.list_(pa.int64())),
+            })
+        give_back()
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "k1 long, k2 long, s array<long>, words array<long>")
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, as rows."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack((a[new], b[new]), axis=1)
+
+
 def _whole_sets(docs: DataFrame, text_col: str, levels: bytes, flags: bytes) -> DataFrame:
     """(k1, k2, named) of the sets whose slot is flagged; ``named`` are a set's words by their keys."""
 
@@ -327,11 +406,15 @@ def matching_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         places = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
         flags[((bucket - 1) * 8 * len(packed) + places) % SLOTS] = 1
     place = F.struct(F.col("first.last").alias("last"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("first.k1").alias("k1"))
-    found = _whole_sets(texts, text_col, levels, flags.tobytes())
-    sets = found.dropDuplicates(["k1", "k2"]).join(wanted.hint("shuffle_hash"), ["k1", "k2"])
-    sets = materialise(sets.select("cid", place.alias("place"), "named"), "line-sets")
-    twice = sets.select(F.explode("named").alias("x")).select("x.*").distinct().groupBy("key").count().where("count > 1").limit(1).count()
-    sets = sets.select("cid", "place", F.transform("named", lambda x: x["key"]).alias("s"), *([F.transform("named", lambda x: x["word"]).alias("words")] if twice else []))
+    found = materialise(_key_sets(texts, text_col, levels, flags.tobytes()), "line-keys")
+    words = found.where("k1 is null").select(F.explode(F.arrays_zip("s", "words")).alias("x")).distinct()
+    twice = words.groupBy("x.s").count().where("count > 1").limit(1).count()
+    if twice:
+        found = _whole_sets(texts, text_col, levels, flags.tobytes())
+        found = found.select("k1", "k2", F.transform("named", lambda x: x["key"]).alias("s"), F.transform("named", lambda x: x["word"]).alias("words"))
+    held = ["s", "words"] if twice else ["s"]
+    sets = found.where("k1 is not null").select("k1", "k2", *held).dropDuplicates(["k1", "k2"]).join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+    sets = materialise(sets.select("cid", place.alias("place"), *held), "line-sets")
 
     shared = materialise(near.groupBy("w").agg(F.count("*").alias("k")), "line-words")
     member = lookup(near, shared, ["w"], ["k"], "k", max(1, shared.agg(F.sum("k")).first()[0] or 0), how="inner").join(sets, "cid")

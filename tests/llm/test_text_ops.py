@@ -197,6 +197,17 @@ def test_words_that_share_a_key_are_told_apart(spark):
     assert {r.cid: (r.n_links, r.other.doc_id) for r in linedup._links(rows, 0.8).collect()} == {0: (1, 1), 1: (1, 0)}
 
 
+def test_whole_sets_move_without_their_words(spark, monkeypatch):
+    """Keys alone, but for keys that name two words: then the words come along, and the result is the same."""
+    rows = [(i, "\n".join(" ".join([*words(i % 5, 9).split(), f"end{j}"]) for j in range(3))) for i in range(20)]
+    docs, named, asked = spark.createDataFrame(rows, "doc_id long, text string"), linedup._whole_sets, []
+    monkeypatch.setattr(linedup, "_whole_sets", lambda *x: asked.append(1) or named(*x))
+    assert line_rows(linedup.matching_lines(docs)) == line_model(rows) and not asked
+    cut = linedup._Cut(["ab ba\u00e9 ab", f"{'x' * 70} ba\u00e9 abab\nab"])
+    a = cut.checks().tolist()
+    assert a[0] == a[2] == a[6] and a[1] == a[4] and len(set(a)) == 4
+
+
 def test_odd_lines(spark, odd_docs, no_docs):
     got = linedup.matching_lines(odd_docs).collect()
     assert len(got) == sum(len(r.text.split("\n")) for r in odd_docs.collect() if r.text is not None)
