@@ -25,7 +25,7 @@ VOLUME = 1 << 19  # hashes in a block of sets, beside one larger set
 
 def block_pairs(rows: DataFrame, fields: list[str], volume: str | None = None) -> DataFrame:
     """(xs, ys) of ``rows(key, c, large, node, *fields)``; ys is null where a block meets itself."""
-    rows = rows.withColumn("own", F.when(F.col("large"), F.col("c")).otherwise(F.lit(0)))
+    rows = materialise(rows.withColumn("own", F.when(F.col("large"), F.col("c")).otherwise(F.lit(0))), "group-rows")  # read three times
     by = ["key", "large", "own"]
     chunks = F.ceil(F.count("*") / ROWS)
     if volume:
